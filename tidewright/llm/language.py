@@ -23,17 +23,22 @@ CHUNK = 1 << 20
 #: Languages in the evidence and in the labels are few; more labels than this are refused.
 MOST_LANGUAGES = 200
 UNKNOWN = "und"
-_LOWER = np.arange(256, dtype=np.uint8)
+#: Log of the odds against ``und``: only rows that look like no language at all are rejected.
+DOUBT = 9.0
+_LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
+_LOWER[[9, 10, 11, 12, 13]] = 32
+#: Digits, signs and control characters say nothing of a language.
+_SILENT = np.array([not (97 <= b <= 122 or b == 32 or b > 127) for b in _LOWER])
 
 
 def trigrams(data: np.ndarray) -> np.ndarray:
-    """Bins of the byte trigrams of a text, A-Z lower-cased."""
-    x = _LOWER[data].astype(np.uint32)
-    if len(x) < 3:
+    """Bins of the byte trigrams of a text without digits and signs, A-Z lower-cased."""
+    if len(data) < 3:
         return np.zeros(0, np.int64)
+    x, silent = _LOWER[data], _SILENT[data]
     h = (x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(0x9E3779B1)
-    return (h >> np.uint32(17)).astype(np.int64)
+    return (h >> np.uint32(17))[~(silent[:-2] | silent[1:-1] | silent[2:])].astype(np.int64)
 
 
 @dataclass
@@ -115,8 +120,8 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     log posterior = TEMPER * text log-likelihood + log P(declared | language) + log P(suffix | language)
     + log prior(language | host). A first pass on texts alone labels every row; grouped counts of these labels give
     the two confusion tables and the priors: host smoothed by parent, parent by the global shares, STRENGTH rows
-    each. ``und`` competes with the uniform trigram model and the least prior: rows that it wins, and those with no
-    trigram at all (null, empty and shorter texts) unless markup or suffix name a language, are rejected. Without
+    each. ``und`` competes with the uniform trigram model and the least prior less DOUBT: rows that it wins, and those with
+    no trigram at all (null, empty and shorter texts) unless markup or suffix name a language, are rejected. Without
     languages in the model nothing is rejected and language is null. ``tag`` hashes the text.
     """
     spark, names = rows.sparkSession, model.languages
@@ -165,7 +170,7 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
         return F.create_map(*(x for v, row in zip(values, logs, strict=True) for x in (F.lit(v), F.array(*(F.lit(float(y)) for y in row)))))[F.col(column)]
 
     total = lambda i: F.col("logs")[i] * TEMPER + F.ln(F.col("prior")[i]) + F.col("d")[i] + F.col("s")[i]
-    least = F.lit(float(np.log(shares.min() / 2)))
+    least = F.lit(float(np.log(shares.min())) - DOUBT)
     nothing = F.array_min("d") + F.array_min("s")
     unknown = F.when((F.col("n") == 0) & (F.col("declared").isin("", "?")) & (F.col("suffix").isin("", "?")), F.lit(1e9)).otherwise(F.col("logs")[k] * TEMPER + least + nothing)
     scored = first.join(priors, "host").withColumns({"d": confusion("declared"), "s": confusion("suffix")})
