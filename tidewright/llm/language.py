@@ -25,20 +25,16 @@ MOST_LANGUAGES = 200
 UNKNOWN = "und"
 #: Log of the odds against ``und``: only rows that look like no language at all are rejected.
 DOUBT = 9.0
-_LOWER = np.arange(256, dtype=np.uint32)
-_LOWER[65:91] += 32
-_LOWER[[9, 10, 11, 12, 13]] = 32
-#: Digits, signs and control characters say nothing of a language.
-_SILENT = np.array([not (97 <= b <= 122 or b == 32 or b > 127) for b in _LOWER])
+#: Letters as they are, A-Z lower-cased; digits, which say nothing of a language, are 0; all other ASCII is a space.
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 0 if 48 <= b <= 57 else 32 for b in range(256)], np.uint32)
 
 
 def trigrams(data: np.ndarray) -> np.ndarray:
-    """Bins of the byte trigrams of a text without digits and signs, A-Z lower-cased."""
-    if len(data) < 3:
-        return np.zeros(0, np.int64)
-    x, silent = _LOWER[data], _SILENT[data]
+    """Bins of the byte trigrams of a text with a space at both ends; those about a space or with digits are left out."""
+    x = np.full(len(data) + 2, 32, np.uint32)
+    x[1:-1] = _LOWER[data]
     h = (x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * np.uint32(0x9E3779B1)
-    return (h >> np.uint32(17))[~(silent[:-2] | silent[1:-1] | silent[2:])].astype(np.int64)
+    return (h >> np.uint32(17))[(x[1:-1] != 32) & (x[:-2] != 0) & (x[1:-1] != 0) & (x[2:] != 0)].astype(np.int64)
 
 
 @dataclass
@@ -64,7 +60,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             for lang, a, b in zip(batch.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):
                 total.setdefault(lang, np.zeros(BINS, np.int64))
                 for i in range(a, b, CHUNK):
-                    total[lang] += np.bincount(trigrams(data[i : min(b, i + CHUNK + 2)]), minlength=BINS)
+                    total[lang] += np.bincount(trigrams(data[i : min(b, i + CHUNK)]), minlength=BINS)
         for lang, n in total.items():
             bins = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins), pa.string()), pa.array(bins.astype(np.int32)), pa.array(n[bins])], ["lang", "bin", "n"])
@@ -121,7 +117,7 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     + log prior(language | host). A first pass on texts alone labels every row; grouped counts of these labels give
     the two confusion tables and the priors: host smoothed by parent, parent by the global shares, STRENGTH rows
     each. ``und`` competes with the uniform trigram model and the least prior less DOUBT: rows that it wins, and those with
-    no trigram at all (null, empty and shorter texts) unless markup or suffix name a language, are rejected. Without
+    no trigram at all (null, empty and texts without letters) unless markup or suffix name a language, are rejected. Without
     languages in the model nothing is rejected and language is null. ``tag`` hashes the text.
     """
     spark, names = rows.sparkSession, model.languages
@@ -138,7 +134,7 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
             n = np.zeros(batch.num_rows, np.int64)
             for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                 for c in range(a, b, CHUNK):
-                    t = trigrams(data[c : min(b, c + CHUNK + 2)])
+                    t = trigrams(data[c : min(b, c + CHUNK)])
                     n[i] += len(t)
                     out[i] += table[t].sum(axis=0, dtype=np.float64)
             lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, k + 1, dtype=np.int32), pa.array(out.reshape(-1)))
