@@ -269,11 +269,13 @@ def repeated(docs: DataFrame, words: bool, length: int, k: int, judge: Callable,
     """Documents with compressed texts, and ``did, tag, spans`` (unit ranges, end exclusive) of repeated windows."""
     rows = identified(docs)
     kmers = super_kmers(rows, words, length, k)
-    often = kmers.groupBy("m").agg(F.count("*").alias("times")).filter("times > 1").select("m")
+    # a table of its own, so that both sides of the join are plain exchanges and a hot minimiser's rows can be split
+    often = stash(kmers.groupBy("m").agg(F.count("*").alias("times")).filter("times > 1").select("m"), "often")
     hits = stash(kmers.join(often, "m"), "hits")
     contents = hits.groupBy("m", "content").agg(F.count("*").alias("copies"), F.min(F.struct("did", "tag", "first", "n")).alias("at"))
-    variants = contents.groupBy("m").agg(F.count("*").alias("variants"))
-    contents = stash(contents.join(variants, "m"), "contents")
+    contents = stash(contents, "contents")
+    variants = stash(contents.groupBy("m").agg(F.count("*").alias("variants")), "variants")
+    contents = contents.join(variants, "m")
     same = contents.filter("variants = 1").select("m", "content", F.lit(0).alias("a"), (F.col("at.n") - 1).alias("b"))
     wanted = contents.filter("variants > 1").select("at.*", "m", "content", "copies", (F.col("variants") > WIDE).alias("wide"))
     docs_z = carried(rows)
