@@ -90,6 +90,16 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """One encoder for each worker process, so that its pieces outlive a task; their number is bounded by CACHE."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def varint(n: int) -> bytes:
     out = bytearray()
     while n > 127:
@@ -239,7 +249,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("tag")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tag")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, out, done, low = Encoder(tokenizer_path), None, [], None
+        encoder, out, done, low = encoder_for(tokenizer_path), None, [], None
         end = np.array([] if end_id is None else [end_id], "<u4")
         name = f"{folder}/shard-{TaskContext.get().partitionId():06d}"
         for batch in batches:
