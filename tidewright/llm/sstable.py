@@ -282,7 +282,8 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     one row for each shard.
     """
     order = Window.orderBy(F.col("low").asc_nulls_first(), "low_tag", "path").rowsBetween(Window.unboundedPreceding, -1)
-    shards = manifest.select("path", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("base")).repartition("path")
+    # a number of its own: shards are few and small rows, which adaptive execution would merge into one task
+    shards = manifest.select("path", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("base")).repartition(max(1, manifest.count()), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
