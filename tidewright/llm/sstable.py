@@ -22,7 +22,7 @@ from tidewright.llm.common import fresh_path, stash
 
 BLOCK = 1 << 16
 SHARD = 256 << 20
-CACHE = 500_000
+CACHE = 1_000_000
 END_ID = 1
 MAGIC = b"TWSST001"
 FOOTER = struct.Struct("<QQQQQQ8s")
@@ -32,62 +32,60 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 class Encoder:
     """Batch encoding of whole texts that encodes each distinct piece between ASCII white space once.
 
-    Exact for tokenizers that drop white space and never merge across it, as ``word_bpe_49k.json`` does.
+    Exact for tokenizers that lower the case, drop white space, never merge across it, take a run of letters and a
+    run of signs as separate words and close each word with a token that ends in ``</w>``: as ``word_bpe_49k.json``.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.closes[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self._forget()
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.begins, self.sizes = (np.zeros(0, x) for x in ("<u4", np.int64, np.int64))
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """ASCII capitals are lowered and full stops and commas after a letter split off first: fewer distinct pieces."""
-        known, parts, todo = self.known, {}, {}
-        for w in words:
-            if w not in known:
-                head, tail = w, ""
-                if "<|" not in w:
-                    head = w.rstrip(".,")
-                    tail = w[len(head) :]
-                    if tail and not (head and head[-1].isalpha() and head[-1].isascii()):
-                        head, tail = w, ""
-                    if head.isascii():
-                        head = head.lower()
-                parts[w] = head, tail
-                for x in (head, tail):
-                    if x and x not in known:
-                        todo[x] = None
-        new = list(todo)
-        fresh = dict(zip(new, self._encode(new), strict=True)) if new else {}
-        known.update(fresh)
-        for w, (head, tail) in parts.items():
-            known[w] = known.get(head, b"") + known.get(tail, b"")
+        """Add words to the pieces known. ASCII letters are one word of the tokenizer, so they are encoded in
+        lines of many and parted again where a word closes."""
+        plain = [w for w in words if w.isascii() and w.isalpha()]
+        other = [w for w in words if not (w.isascii() and w.isalpha())]
+        lines = np.array([i for line in self._encode([" ".join(plain[i : i + 1000]) for i in range(0, len(plain), 1000)]) for i in line], "<u4")
+        stops = np.flatnonzero(self.closes[lines]) + 1
+        if len(stops) != len(plain):
+            raise ValueError("words don't close as expected")
+        single = self._encode(other)
+        sizes = np.concatenate([np.diff(stops, prepend=0), np.fromiter(map(len, single), np.int64, len(single))])
+        self.known |= {w: len(self.known) + i for i, w in enumerate(plain + other)}
+        begin = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, lines, np.array([i for x in single for i in x], "<u4")])
+        self.begins, self.sizes = np.concatenate([self.begins, begin]), np.concatenate([self.sizes, sizes])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text as little-endian uint32."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else lowering could make a special token
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([.,]+)([ \n])", r"\1 \2\3")
+        split = pc.ascii_split_whitespace(texts)
         named = split.flatten().dictionary_encode()
         words = named.dictionary.to_pylist()
         if len(self.known) > CACHE:
-            self.known.clear()
-        self._learn(words)
-        ids = [self.known[w] for w in words]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begins = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        index = named.indices.to_numpy()
+            self._forget()
+        self._learn([w for w in words if w not in self.known])
+        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[named.indices.to_numpy()]
+        sizes = self.sizes[index]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.arange(stops[-1]) + np.repeat(self.begins[index] - stops[:-1], sizes)]
         bounds = split.offsets.to_numpy()
-        out = []
-        for a, b in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0], strict=True):
-            part = index[a:b]
-            n = sizes[part]
-            stop = np.cumsum(n)
-            out.append(flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begins[part] - (stop - n), n)])
-        return out
+        cuts = stops[bounds - bounds[0]]
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
