@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -36,6 +35,27 @@ def parse(formatted: str) -> list[Turn]:
     return [(unescape(r), unescape(t)) for r, t in _TURN.findall(formatted)]
 
 
+def shared_head(a: str, b: str, sure: int = 0) -> int:
+    """Length of the common beginning, of which ``sure`` characters are known."""
+    low, high = sure, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def shared_tail(a: str, b: str) -> int:
+    """Length of the common end: it doubles while all of it agrees."""
+    most, size = min(len(a), len(b)), 64
+    while size < most and a[-size:] == b[-size:]:
+        size *= 2
+    size = min(size, most)
+    return shared_head(a[len(a) - size :][::-1], b[len(b) - size :][::-1])
+
+
 def spans(turns: list[Turn], render: Callable[[list[Turn]], str]) -> tuple[str, list[dict], bool]:
     """(formatted, spans, rewrites) by rendering successive prefixes of the turns.
 
@@ -50,10 +70,10 @@ def spans(turns: list[Turn], render: Callable[[list[Turn]], str]) -> tuple[str,
         begin = len(before)
         if not now.startswith(before):
             rewrites = True
-            begin = len(os.path.commonprefix([before, now]))
+            begin = shared_head(before, now)
         one, two = (render([*turns[:i], (role, x)]) for x in "ab")
-        low = len(os.path.commonprefix([one, two]))
-        high = len(now) - len(os.path.commonprefix([one[::-1], two[::-1]]))
+        low = shared_head(one, two)
+        high = len(now) - shared_tail(one, two)
         found.append({"role": role, "start": begin, "end": len(now), "text_start": low, "text_end": max(low, high), "loss": role == "assistant"})
         before = now
     return before, found, rewrites
