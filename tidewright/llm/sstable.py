@@ -22,7 +22,7 @@ from tidewright.llm.common import fresh_path, stash
 
 BLOCK = 1 << 16
 SHARD = 256 << 20
-CACHE = 1_000_000
+CACHE = 500_000
 END_ID = 1
 MAGIC = b"TWSST001"
 FOOTER = struct.Struct("<QQQQQQ8s")
