@@ -154,6 +154,7 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     parents = hosts.groupBy("parent").agg(*(F.sum(f"n{i}").alias(f"p{i}") for i in range(k)))
     parents = parents.select("parent", *(c.alias(f"q{i}") for i, c in enumerate(smooth("p", lambda i: float(shares[i])))))
     priors = hosts.join(parents, "parent").select("host", F.array(*smooth("n", lambda i: F.col(f"q{i}"))).alias("prior"))
+    priors = stash(priors, "priors")  # so that the join below can split a hot host
 
     def confusion(column: str) -> Column:
         """log P(seen | language) as a map from the value seen to an array by language; at most k + 2 values."""
