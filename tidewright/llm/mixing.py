@@ -25,7 +25,8 @@ def schedule(spark: SparkSession, weights: dict[str, int]) -> DataFrame:
     """
     if not weights or any(int(a) != a or a < 1 for a in weights.values()) or (total := sum(weights.values())) > MOST_SLOTS:
         raise ValueError(f"weights must be positive whole numbers that sum to {MOST_SLOTS} at most")
-    classes = spark.createDataFrame([(c, int(a)) for c, a in sorted(weights.items())], "class string, weight long")
+    rows = [F.struct(F.lit(c).alias("class"), F.lit(int(a)).cast("long").alias("weight")) for c, a in sorted(weights.items())]
+    classes = spark.range(1).select(F.inline(F.array(*rows)))
     every = classes.agg(F.sort_array(F.collect_list(F.struct("class", "weight"))).alias("w")).coalesce(1)
     due = f"""array_min(transform(w, (x, i) -> CASE WHEN (s.done[i] * {total}L) div x.weight <= t
         THEN struct(((s.done[i] + 1) * {total}L + x.weight - 1) div x.weight AS due, cast(i AS long) AS i)
