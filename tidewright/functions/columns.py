@@ -7,14 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("date")
-SO_FAR = BY_TICKER.rowsBetween(Window.unboundedPreceding, 0)
-BY_DATE = Window.partitionBy("date")
+
+# Windows are made when asked for: Python workers import these modules without a session.
+def by_ticker():
+    return Window.partitionBy("ticker").orderBy("date")
+
+
+def so_far():
+    return by_ticker().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def by_date():
+    return Window.partitionBy("date")
 
 
 def trailing(rows: int):
     """The last ``rows`` rows of a ticker."""
-    return BY_TICKER.rowsBetween(-(rows - 1), 0)
+    return by_ticker().rowsBetween(-(rows - 1), 0)
 
 
 def col(x: Column | str) -> Column:
@@ -32,7 +41,7 @@ def ratio(a: Column | str, b: Column | str) -> Column:
 
 
 def change(x: Column | str, rows: int) -> Column:
-    return ratio(x, F.lag(col(x), rows).over(BY_TICKER)) - 1
+    return ratio(x, F.lag(col(x), rows).over(by_ticker())) - 1
 
 
 def add_filled(a: Column, b: Column, sign: int = 1) -> Column:

@@ -44,7 +44,9 @@ def rolling_pairs(panel: DataFrame, rows: int) -> DataFrame:
     """``date, a, b, c``: correlation over the last ``rows`` calendar rows, null before so many have passed."""
     order = Window.partitionBy("a", "b").orderBy("date")
     frame = order.rowsBetween(-(rows - 1), 0)
-    return pairs(panel).select("date", "a", "b", F.when(F.row_number().over(order) >= rows, corr(frame)).alias("c"))
+    # a number of its own, as adaptive execution would merge the work of all pairs into one task
+    n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs(panel).repartition(n, "a", "b").select("date", "a", "b", F.when(F.row_number().over(order) >= rows, corr(frame)).alias("c"))
 
 
 def both_ways(half: DataFrame) -> DataFrame:
@@ -105,4 +107,4 @@ def pca_explained(panel: DataFrame, rows: int = 252, n: int = 3, until: str | No
         k = min(n, len(values), len(x))
         return pd.DataFrame({"component": np.arange(1, k + 1, dtype="int32"), "ratio": values[:k] / values.sum()})
 
-    return trailing_rows(panel, rows, until).select("date", "ticker", "ret").groupBy(F.lit(1)).applyInPandas(solve, "component int, ratio double")
+    return trailing_rows(panel, rows, until).select("date", "ticker", "ret", F.lit(1).alias("block")).groupBy("block").applyInPandas(solve, "component int, ratio double")

@@ -25,12 +25,6 @@ class Params:
         return len(self.start)
 
 
-def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = np.max(x, axis=axis, keepdims=True)
-    top = np.where(np.isfinite(top), top, 0.0)
-    return np.squeeze(top, axis) + np.log(np.sum(np.exp(x - top), axis=axis))
-
-
 def log_density(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
     eye = np.eye(len(mean))
     for ridge in (1e-6, 1e-3):
@@ -49,18 +43,31 @@ def emissions(x: np.ndarray, p: Params) -> np.ndarray:
     return np.column_stack([log_density(x, m, c) for m, c in zip(p.means, p.covs, strict=True)])
 
 
-def forward(e: np.ndarray, p: Params) -> np.ndarray:
-    out, moves = np.empty_like(e), np.log(p.moves)
-    out[0] = np.log(p.start) + e[0]
-    for t in range(1, len(e)):
-        out[t] = e[t] + log_sum(out[t - 1][:, None] + moves, 0)
-    return out
+def scaled(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Densities divided by each row's greatest, and the logs of what was divided by."""
+    top = e.max(axis=1)
+    return np.exp(e - top[:, None]), top
+
+
+def forward(e: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
+    """P(state at t | values up to t) and the log-likelihood; each row is scaled to sum to one, so nothing underflows."""
+    b, top = scaled(e)
+    out, norms, now = np.empty_like(e), np.empty(len(e)), p.start
+    for t in range(len(e)):
+        now = (now if t == 0 else now @ p.moves) * b[t]
+        norms[t] = max(now.sum(), 1e-300)
+        now = now / norms[t]
+        out[t] = now
+    return out, float((np.log(norms) + top).sum())
 
 
 def backward(e: np.ndarray, p: Params) -> np.ndarray:
-    out, moves = np.zeros_like(e), np.log(p.moves)
+    """Likelihood of the values after t by state, each row scaled to sum to one."""
+    b, _ = scaled(e)
+    out = np.ones_like(e) / e.shape[1]
     for t in range(len(e) - 2, -1, -1):
-        out[t] = log_sum(moves + (e[t + 1] + out[t + 1])[None, :], 1)
+        x = p.moves @ (b[t + 1] * out[t + 1])
+        out[t] = x / max(x.sum(), 1e-300)
     return out
 
 
@@ -90,11 +97,11 @@ def fit(x: np.ndarray, k: int, steps: int = 40, tolerance: float = 1e-4, seed: i
     p = Params(np.full(k, 1 / k), moves, np.array([o.mean(axis=0) if len(o) else x.mean(axis=0) for o in own]), np.array([(np.cov(o.T).reshape(d, d) if len(o) > d else spread) + 1e-4 * eye for o in own]), -np.inf)
     for step in range(steps):
         e = emissions(x, p)
-        a, b = forward(e, p), backward(e, p)
-        total = float(log_sum(a[-1], 0))
-        gamma = np.exp(a + b - total)
+        (a, total), b = forward(e, p), backward(e, p)
+        gamma = a * b + 1e-300
         gamma /= gamma.sum(axis=1, keepdims=True)
-        pair = np.exp(a[:-1, :, None] + np.log(p.moves)[None] + (e[1:] + b[1:])[:, None, :] - total).sum(axis=0) + 1e-10
+        pair = a[:-1, :, None] * p.moves[None] * (scaled(e)[0][1:] * b[1:])[:, None, :]
+        pair = (pair / np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-300)).sum(axis=0) + 1e-10
         mass = gamma.sum(axis=0) + 1e-10
         means = gamma.T @ x / mass[:, None]
         covs = np.array([((x - m).T * gamma[:, i]) @ (x - m) / mass[i] + 1e-4 * eye for i, m in enumerate(means)])
@@ -107,8 +114,7 @@ def fit(x: np.ndarray, k: int, steps: int = 40, tolerance: float = 1e-4, seed: i
 
 def forward_filter(x: np.ndarray, p: Params) -> np.ndarray:
     """P(state at t | values up to t), rows sum to one."""
-    a = forward(emissions(x, p), p)
-    return np.exp(a - log_sum(a, 1)[:, None])
+    return forward(emissions(x, p), p)[0]
 
 
 def bic(p: Params, n: int, d: int) -> float:
@@ -164,5 +170,6 @@ def classify_hmm(features: DataFrame, first: int = 504, refit: int = 126, most:
             new["regime"], new["score"] = "neutral", 0.0
         return new
 
-    found = grouped.groupBy("anchor").applyInPandas(label, "date date, regime string, score double")
+    # a number of its own: the fits are few and heavy, and would be merged into one task by their size
+    found = grouped.repartition(max(1, len(range(first, size, refit))), "anchor").groupBy("anchor").applyInPandas(label, "date date, regime string, score double")
     return neutral.select("date").join(found, "date", "left").select("date", F.coalesce("regime", F.lit("neutral")).alias("regime"), F.coalesce("score", F.lit(0.0)).alias("score"))

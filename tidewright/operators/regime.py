@@ -9,10 +9,14 @@ from tidewright.functions.columns import add_filled, rolling
 from tidewright.operators.correlation import market_correlation
 from tidewright.operators.signals import drawdown, inflow_outflow, relative_strength, wealth_drawdown
 
-CALENDAR = Window.orderBy("date")  # series of one row a date
 DEAD_BAND = 1e-3
 
 
+def calendar_order():
+    """For series of one row a date."""
+    return Window.orderBy("date")
+
+
 def sleeve(panel: DataFrame, tickers: list[str], rows: int) -> DataFrame:
     """Mean over tickers of the rolling mean return, full windows only; an empty sleeve is 0."""
     own = panel.filter(F.col("ticker").isin(tickers)).withColumn("m", rolling(F.avg, "ret", rows, rows))
@@ -22,7 +26,7 @@ def sleeve(panel: DataFrame, tickers: list[str], rows: int) -> DataFrame:
 
 
 def vix_deviation(vix: DataFrame, rows: int) -> DataFrame:
-    frame = CALENDAR.rowsBetween(-(rows - 1), 0)
+    frame = calendar_order().rowsBetween(-(rows - 1), 0)
     full = F.count("vix").over(frame) >= rows
     z = F.try_divide(F.col("vix") - F.avg("vix").over(frame), F.stddev_samp("vix").over(frame))
     return vix.select("date", F.coalesce(F.when(full, z), F.lit(0.0)).alias("dev"), "vix")
@@ -67,7 +71,7 @@ def market_features(panel: DataFrame, vix: DataFrame, tickers: list[str], vol_ro
     """Return, volatility, mean correlation, dispersion, drawdown and volatility index of a sleeve, by date."""
     own = panel.filter(F.col("ticker").isin(tickers))
     series = own.groupBy("date").agg(F.avg("ret").alias("mkt_ret"), F.stddev_samp("ret").alias("disp"))
-    frame = CALENDAR.rowsBetween(-(vol_rows - 1), 0)
+    frame = calendar_order().rowsBetween(-(vol_rows - 1), 0)
     series = series.withColumn("mkt_vol", F.when(F.count("mkt_ret").over(frame) >= max(5, vol_rows // 2), F.stddev_samp("mkt_ret").over(frame)) * 252**0.5)
     as_panel = series.select("date", F.lit("market").alias("ticker"), F.col("mkt_ret").alias("ret"))
     fall = wealth_drawdown(as_panel, dd_rows).select("date", F.col("value").alias("dd"))

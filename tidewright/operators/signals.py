@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.columns import BY_DATE, BY_TICKER, SO_FAR, change, ratio, rolling
+from tidewright.functions.columns import by_date, by_ticker, so_far, change, ratio, rolling
 
 
 def valued(panel: DataFrame, value: Column) -> DataFrame:
@@ -23,8 +23,8 @@ def momentum_value(weights: dict[int, float], skip: int = 0) -> Column:
     """Weighted returns over several lookbacks; a missing leg counts zero, null only if all miss."""
     weights = weights or {252: 1.0}
     total = sum(weights.values())
-    now = F.lag("px", skip).over(BY_TICKER) if skip else F.col("px")
-    legs = [ratio(now, F.lag("px", k).over(BY_TICKER)) - 1 for k in weights]
+    now = F.lag("px", skip).over(by_ticker()) if skip else F.col("px")
+    legs = [ratio(now, F.lag("px", k).over(by_ticker())) - 1 for k in weights]
     parts = [F.coalesce(leg, F.lit(0.0)) * (w / total if total else 0.0) for leg, w in zip(legs, weights.values(), strict=True)]
     score = parts[0]
     for p in parts[1:]:
@@ -39,7 +39,7 @@ def momentum_score(panel: DataFrame, weights: dict[int, float] | None = None, sk
 def ranked(values: DataFrame, ascending: bool = False) -> DataFrame:
     """Rank by date, equal values sharing the least rank; missing values have none."""
     order = F.col("value").asc_nulls_last() if ascending else F.col("value").desc_nulls_last()
-    return values.withColumn("rank", F.when(F.col("value").isNotNull(), F.rank().over(BY_DATE.orderBy(order))))
+    return values.withColumn("rank", F.when(F.col("value").isNotNull(), F.rank().over(by_date().orderBy(order))))
 
 
 def dual_momentum(panel: DataFrame, rows: int = 252) -> DataFrame:
@@ -61,12 +61,12 @@ def volume_trend(panel: DataFrame, rows: int = 20) -> DataFrame:
 
 
 def _sign() -> Column:
-    return F.signum(F.col("close") - F.lag("close", 1).over(BY_TICKER))
+    return F.signum(F.col("close") - F.lag("close", 1).over(by_ticker()))
 
 
 def obv(panel: DataFrame) -> DataFrame:
     """Cumulated volume by the price's direction; never null."""
-    return valued(panel.withColumn("_s", F.coalesce(_sign() * F.col("volume"), F.lit(0.0))), F.sum("_s").over(SO_FAR))
+    return valued(panel.withColumn("_s", F.coalesce(_sign() * F.col("volume"), F.lit(0.0))), F.sum("_s").over(so_far()))
 
 
 def money_flow(panel: DataFrame, rows: int = 20, least: int | None = None) -> DataFrame:
@@ -84,7 +84,7 @@ def realized_vol(panel: DataFrame, rows: int = 21, ppy: int = 252) -> DataFrame:
 
 
 def atr(panel: DataFrame, rows: int = 14) -> DataFrame:
-    before = F.lag("close", 1).over(BY_TICKER)
+    before = F.lag("close", 1).over(by_ticker())
     ranges = panel.withColumn("_t", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
     return ranges.select("date", "ticker", rolling(F.avg, "_t", rows, max(1, rows // 2)).alias("value"), "close")
 
@@ -96,29 +96,29 @@ def atr_pct(panel: DataFrame, rows: int = 14) -> DataFrame:
 def relative_strength(panel: DataFrame, rows: int = 63, benchmark: str | None = None) -> DataFrame:
     """Return over ``rows`` less the benchmark's or the mean of all."""
     tr = total_return(panel, rows)
-    base = F.max(F.when(F.col("ticker") == benchmark, F.col("value"))).over(BY_DATE) if benchmark else F.avg("value").over(BY_DATE)
+    base = F.max(F.when(F.col("ticker") == benchmark, F.col("value"))).over(by_date()) if benchmark else F.avg("value").over(by_date())
     return valued(tr, F.col("value") - base)
 
 
 def wealth_drawdown(panel: DataFrame, rows: int = 40) -> DataFrame:
     """Cumulated return against its rolling maximum."""
-    grown = panel.withColumn("_w", F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(SO_FAR)))
+    grown = panel.withColumn("_w", F.exp(F.sum(F.log1p(F.coalesce("ret", F.lit(0.0)))).over(so_far())))
     return valued(grown, ratio("_w", rolling(F.max, "_w", rows, max(5, rows // 2))) - 1)
 
 
 def drawdown(panel: DataFrame) -> DataFrame:
-    return valued(panel, ratio("px", F.max("px").over(SO_FAR)) - 1)
+    return valued(panel, ratio("px", F.max("px").over(so_far())) - 1)
 
 
 def availability(panel: DataFrame, warm: int) -> DataFrame:
     """How many tradables have at least ``warm`` available rows, by date."""
-    aged = panel.filter("tradable").withColumn("_age", F.sum(F.col("available").cast("long")).over(SO_FAR))
+    aged = panel.filter("tradable").withColumn("_age", F.sum(F.col("available").cast("long")).over(so_far()))
     return aged.groupBy("date").agg(F.sum((F.col("_age") >= warm).cast("long")).alias("ready"))
 
 
 def zscore(values: DataFrame) -> DataFrame:
     """Cross-sectional z-score by date (population deviation); no dispersion gives 0, missing stays missing."""
-    mean, sd = F.avg("value").over(BY_DATE), F.stddev_pop("value").over(BY_DATE)
+    mean, sd = F.avg("value").over(by_date()), F.stddev_pop("value").over(by_date())
     return valued(values, F.when(F.col("value").isNull(), None).when(sd > 1e-12, F.try_divide(F.col("value") - mean, sd)).otherwise(0.0))
 
 

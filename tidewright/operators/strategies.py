@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.columns import BY_DATE, normalized, rolling
+from tidewright.functions.columns import by_date, normalized, rolling
 from tidewright.operators import riskopt, signals
 from tidewright.operators.correlation import rolling_avg_correlation
 
@@ -61,9 +61,9 @@ def topn(panel: DataFrame, dates: DataFrame, n: int = 5, weights: dict[int, floa
     own = panel.filter("tradable")
     both = own.select("date", "ticker", "px", signals.momentum_value(weights, skip).alias("score"), signals.change("px", max(weights)).alias("long"))
     live = at(both, dates).filter("px IS NOT NULL AND score IS NOT NULL")
-    best = live.withColumn("rank", F.row_number().over(BY_DATE.orderBy(F.desc("score"), "ticker"))).filter(F.col("rank") <= n)
+    best = live.withColumn("rank", F.row_number().over(by_date().orderBy(F.desc("score"), "ticker"))).filter(F.col("rank") <= n)
     kept = best.filter("long > 0") if absolute else best
-    counted = kept.withColumn("k", F.count("*").over(BY_DATE)).filter(F.col("k") >= min_assets)
+    counted = kept.withColumn("k", F.count("*").over(by_date())).filter(F.col("k") >= min_assets)
     return _weights(counted.withColumn("w", 1.0 / (F.lit(n) if cash_slots else F.col("k"))))
 
 
@@ -73,7 +73,7 @@ def risk_parity(panel: DataFrame, dates: DataFrame, rows: int = 63, method: str
     vol = rolling(F.stddev_samp, "ret", rows, max(5, rows // 2)) * 252**0.5
     live = at(own.select("date", "ticker", "px", vol.alias("vol"), signals.change("px", momentum_rows).alias("mom")), dates).filter("px IS NOT NULL AND vol > 0")
     live = live.filter("mom > 0") if momentum else live
-    inverse = _weights(live.withColumn("w", normalized(1 / F.col("vol"), BY_DATE)))
+    inverse = _weights(live.withColumn("w", normalized(1 / F.col("vol"), by_date())))
     if method == "inverse_vol":
         return inverse
 
@@ -96,7 +96,7 @@ def _by_covariance(own: DataFrame, live: DataFrame, dates: DataFrame, rows: int,
     def run(x: pd.DataFrame) -> pd.DataFrame:
         wide = x.pivot(index="date", columns="ticker", values="ret")
         names, w = solve(wide.to_numpy(dtype=float), wide.columns.to_numpy())
-        return pd.DataFrame({"date": [x["at"].iloc[0]] * len(names), "ticker": names, "w": w})
+        return pd.DataFrame({"date": pd.Series([x["at"].iloc[0]] * len(names), dtype=object), "ticker": pd.Series(list(names), dtype=object), "w": pd.Series(list(w), dtype=float)})
 
     return _weights(block.groupBy("at").applyInPandas(run, "date date, ticker string, w double"))
 
@@ -125,10 +125,10 @@ def composite(panel: DataFrame, dates: DataFrame, n: int = 8, weights: tuple[flo
         joined = z if joined is None else joined.join(z, ["date", "ticker"], "left")
     score = sum((F.col(f"z{i}") * w for i, w in enumerate(weights)), F.lit(0.0)) / total
     live = joined.withColumn("score", score).join(at(own.select("date", "ticker", "px", signals.change("px", 252).alias("mom")), dates), ["date", "ticker"]).filter("px IS NOT NULL AND score IS NOT NULL" + (" AND mom > 0" if absolute else ""))
-    best = live.withColumn("rank", F.row_number().over(BY_DATE.orderBy(F.desc("score"), "ticker"))).filter(F.col("rank") <= n)
+    best = live.withColumn("rank", F.row_number().over(by_date().orderBy(F.desc("score"), "ticker"))).filter(F.col("rank") <= n)
     up = F.when(F.col("score") > 0, F.col("score"))
-    mass = F.sum(up).over(BY_DATE)
-    return _weights(best.withColumn("w", F.when(mass > 0, F.coalesce(up, F.lit(0.0)) / mass).otherwise(1.0 / F.count("*").over(BY_DATE))))
+    mass = F.sum(up).over(by_date())
+    return _weights(best.withColumn("w", F.when(mass > 0, F.coalesce(up, F.lit(0.0)) / mass).otherwise(1.0 / F.count("*").over(by_date()))))
 
 
 @register("regime_based")
@@ -155,7 +155,7 @@ def regime_budget(base: DataFrame, regimes: DataFrame, discrete: bool = True, bu
 def fixed(panel: DataFrame, dates: DataFrame, shares: dict[str, float]) -> DataFrame:
     """Given shares of those available; what is missing is cash."""
     wanted = panel.sparkSession.createDataFrame([(t, float(w)) for t, w in shares.items()], "ticker string, share double")
-    return _weights(available(panel, dates).join(F.broadcast(wanted), "ticker").withColumn("w", normalized(F.col("share"), BY_DATE)))
+    return _weights(available(panel, dates).join(F.broadcast(wanted), "ticker").withColumn("w", normalized(F.col("share"), by_date())))
 
 
 @register("bench_6040")
@@ -170,14 +170,14 @@ def bench_bh(panel: DataFrame, dates: DataFrame, ticker: str) -> DataFrame:
 
 @register("bench_equal")
 def bench_equal(panel: DataFrame, dates: DataFrame) -> DataFrame:
-    return _weights(available(panel, dates).withColumn("w", 1.0 / F.count("*").over(BY_DATE)))
+    return _weights(available(panel, dates).withColumn("w", 1.0 / F.count("*").over(by_date())))
 
 
 def overlay(weights: DataFrame, max_single: float = 1.0, max_gross: float = 1.0, market: DataFrame | None = None, threshold: float = 0.85, budget: float = 0.5) -> DataFrame:
     """Caps on single and gross weights (nothing is redistributed), and a cut where mean correlation spikes."""
     w = F.least(F.col("w"), F.lit(max_single)) if max_single < 1 else F.col("w")
     capped = weights.withColumn("w", w)
-    gross = F.sum("w").over(BY_DATE)
+    gross = F.sum("w").over(by_date())
     capped = capped.withColumn("w", F.when(gross > max_gross, F.col("w") * max_gross / gross).otherwise(F.col("w")))
     if market is not None:
         spike = market.groupBy("date").agg(F.avg("value").alias("_c"))

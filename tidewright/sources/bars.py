@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.columns import BY_TICKER, SO_FAR, change
+from tidewright.functions.columns import by_ticker, so_far, change
 
 BAR_SCHEMA = "ticker string, date date, open double, high double, low double, close double, adj_close double, volume double"
 
@@ -21,7 +21,8 @@ def bars_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = lines.groupBy("l_suppkey", "date").agg(F.sum("l_discount").alias("d"), F.min("l_discount").alias("lo"), F.max("l_discount").alias("hi"), F.sum("l_quantity").alias("q"), F.count("l_discount").alias("n"))
     joined = daily.join(places, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("n_name").alias("ticker"), F.col("r_name").alias("category"), "date")
     made = joined.agg((F.sum("d") / F.sum("n")).alias("disc"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("q").alias("volume"))
-    close = 100 * F.exp(F.sum(0.5 * (F.col("disc") - 0.05)).over(SO_FAR))
+    # rounded, so that equal prices are equal in any order of addition
+    close = F.round(100 * F.exp(F.sum(0.5 * (F.col("disc") - 0.05)).over(so_far())), 8)
     return made.withColumn("close", close).select("ticker", "category", "date", "close", (F.col("close") * F.exp(0.5 * (F.col("hi") - F.col("disc")))).alias("high"), (F.col("close") * F.exp(0.5 * (F.col("lo") - F.col("disc")))).alias("low"), "volume")
 
 
@@ -72,7 +73,7 @@ def build_panel(bars: DataFrame, assets: DataFrame, start: str | None = None, en
     present = assets.join(bars.select("ticker").distinct(), "ticker", "left_semi")
     grid = calendar.crossJoin(F.broadcast(present))
     raw = bars.select("ticker", "date", "close", "high", "low", "volume")
-    filled = grid.join(raw, ["ticker", "date"], "left").select("date", "ticker", "category", "tradable", "pos", *(F.last(c, ignorenulls=True).over(SO_FAR).alias(c) for c in ("close", "high", "low", "volume")))
+    filled = grid.join(raw, ["ticker", "date"], "left").select("date", "ticker", "category", "tradable", "pos", *(F.last(c, ignorenulls=True).over(so_far()).alias(c) for c in ("close", "high", "low", "volume")))
     panel = filled.withColumn("px", F.col("close")).withColumns({"dollar_volume": F.col("close") * F.col("volume"), "ret": change("px", 1), "available": F.col("px").isNotNull()})
     return panel.filter(F.col("date") >= F.to_date(F.lit(start))) if start else panel
 
@@ -114,4 +115,4 @@ def period_last(calendar: DataFrame, freq: str) -> DataFrame:
 
 
 def lagged(x: str, rows: int):
-    return F.lag(x, rows).over(BY_TICKER)
+    return F.lag(x, rows).over(by_ticker())
