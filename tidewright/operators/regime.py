@@ -19,10 +19,10 @@ def calendar_order():
 
 def sleeve(panel: DataFrame, tickers: list[str], rows: int) -> DataFrame:
     """Mean over tickers of the rolling mean return, full windows only; an empty sleeve is 0."""
-    own = panel.filter(F.col("ticker").isin(tickers)).withColumn("m", rolling(F.avg, "ret", rows, rows))
-    if not tickers:
-        return panel.select("date").distinct().withColumn("value", F.lit(0.0))
-    return own.groupBy("date").agg(F.avg("m").alias("value"))
+    own = F.col("ticker").isin(tickers)
+    means = panel.withColumns({"m": rolling(F.avg, "ret", rows, rows), "own": own})
+    value = F.when(F.max("own"), F.avg(F.when(F.col("own"), F.col("m")))).otherwise(0.0)
+    return means.groupBy("date").agg(value.alias("value"))
 
 
 def vix_deviation(vix: DataFrame, rows: int) -> DataFrame:

@@ -153,7 +153,7 @@ _matrix = f"{_last120}{o.PAIRS}, h AS (SELECT a, b, covar_samp(x, y) / nullif(st
 on_panel("a06_correlation_matrix", lambda p: correlation.correlation_matrix(p, 120).select("ticker_a", "ticker_b", r6(F.col("c"), "c")), f"{o.BASE}{_matrix} SELECT ticker_a, ticker_b, round(c, 6) AS c FROM mx")
 on_panel("a07_off_diagonal_mean", lambda p: correlation.off_diagonal_mean(correlation.correlation_matrix(p, 120)).select("ticker", r6(F.col("avg_corr"), "avg_corr")), f"{o.BASE}{_matrix} SELECT ticker_a AS ticker, round(avg(c), 6) AS avg_corr FROM mx WHERE ticker_a <> ticker_b GROUP BY 1")
 on_panel("a15_enough_values", lambda p: signals.trailing_rows(p, 120).groupBy("ticker").agg(F.count("ret").alias("n")).filter("n >= 60"), f"{o.BASE}{_last120} SELECT ticker, count(ret) AS n FROM p WHERE date IN (SELECT date FROM l) GROUP BY 1 HAVING count(ret) >= 60")
-on_panel("r05_best_lag", lambda p: correlation.best_lag(correlation.lead_lag(p, "NATION_0", "NATION_1", 5)).select(F.col("best_lag").cast("long").alias("best_lag"), r6(F.col("c"), "c")), _sql["j07_lead_lag"].replace("SELECT CAST(lag AS BIGINT) AS lag, round(corr(x.l, y.f), 6) AS c FROM k, w y JOIN w x ON x.n = y.n - k.lag GROUP BY lag", "SELECT CAST(lag AS BIGINT) AS best_lag, round(c, 6) AS c FROM (SELECT lag, corr(x.l, y.f) AS c FROM k, w y JOIN w x ON x.n = y.n - k.lag GROUP BY lag) ORDER BY abs(c) DESC, lag LIMIT 1"))
+on_panel("r05_best_lag", lambda p: correlation.best_lag(correlation.lead_lag(p, "NATION_0", "NATION_1", 5)).select(F.col("best_lag").cast("long").alias("best_lag"), r6(F.col("c"), "c")), _sql["j07_lead_lag"].replace("SELECT CAST(lag AS BIGINT) AS lag, round(corr(x.l, y.f), 6) AS c FROM k, w y JOIN w x ON x.n = y.n - k.lag GROUP BY lag", "SELECT CAST(coalesce(max(lag), 0) AS BIGINT) AS best_lag, round(max(c), 6) AS c FROM (SELECT * FROM (SELECT lag, corr(x.l, y.f) AS c FROM k, w y JOIN w x ON x.n = y.n - k.lag GROUP BY lag) WHERE c IS NOT NULL ORDER BY abs(c) DESC, lag LIMIT 1)"))
 on_panel("r07_pca_explained", lambda p: correlation.pca_explained(p).select("component", r6(F.col("ratio"), "ratio")))
 
 # regimes and rotation
@@ -224,7 +224,7 @@ def paths(p: DataFrame, names: tuple[str, ...] = SUITE, freqs: tuple[str, ...] =
 
 on_panel("b01_backtest_paths", lambda p: paths(p).select("strategy", "freq", "date", r6(F.col("equity"), "equity"), r6(F.col("turnover"), "turnover"), r6(F.col("cash"), "cash"), "rebalanced"))
 # one ticker bought on the first month end: later rebalances only spend what costs left in cash
-on_panel("b01_buy_and_hold_path", lambda p: runner.suite(p, {"bh": runner.by_name(p, "bench_bh", ticker="NATION_0")}, ("monthly",), cost=0.0).select("date", r6(F.col("equity"), "equity")), f"{o.BASE}{o.DATES}, z AS (SELECT min(p.date) AS date FROM p JOIN d ON p.date = d.date), h AS (SELECT min(p.date) AS date FROM p JOIN d ON p.date = d.date WHERE ticker = 'NATION_0' AND px IS NOT NULL) SELECT p.date, round(CASE WHEN p.date <= h.date THEN 100000.0e0 ELSE 100000 * px / (SELECT px FROM p q, h WHERE q.ticker = 'NATION_0' AND q.date = h.date) END, 6) AS equity FROM p, h, z WHERE ticker = 'NATION_0' AND p.date >= z.date")
+on_panel("b01_buy_and_hold_path", lambda p: runner.suite(p, {"bh": runner.by_name(p, "bench_bh", ticker="NATION_0")}, ("monthly",), cost=0.0).select("date", r6(F.col("equity"), "equity")), f"{o.BASE}{o.DATES}, z AS (SELECT min(p.date) AS date FROM p JOIN d ON p.date = d.date), h AS (SELECT min(p.date) AS date FROM p JOIN d ON p.date = d.date WHERE ticker = 'NATION_0' AND px IS NOT NULL) SELECT cal.date, round(CASE WHEN h.date IS NULL OR cal.date <= h.date THEN 100000.0e0 ELSE 100000 * px / (SELECT px FROM p q, h WHERE q.ticker = 'NATION_0' AND q.date = h.date) END, 6) AS equity FROM cal CROSS JOIN h CROSS JOIN z LEFT JOIN p ON p.date = cal.date AND ticker = 'NATION_0' WHERE cal.date >= z.date")
 on_panel("b01_equal_weight_path", lambda p: runner.suite(p, {"eq": runner.by_name(p, "bench_equal")}, ("monthly",), cost=0.0).select("date", F.round("equity", 4).alias("equity")), f"""{o.BASE}{o.DATES}, k AS (SELECT date, row_number() OVER (ORDER BY date) AS n, lead(date, 1, DATE '9999-12-31') OVER (ORDER BY date) AS until FROM d),
 g AS (SELECT c.date, k.n, avg(q.px / s.px) AS grown FROM cal c JOIN k ON c.date > k.date AND c.date <= k.until JOIN p s ON s.date = k.date AND s.tradable AND s.px IS NOT NULL JOIN p q ON q.date = c.date AND q.ticker = s.ticker GROUP BY 1, 2),
 t AS (SELECT g.n, g.grown FROM g JOIN k ON g.n = k.n AND g.date = k.until), m AS (SELECT k.n, 100000 * coalesce(exp(sum(ln(t.grown)) OVER (ORDER BY k.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS e FROM k LEFT JOIN t ON k.n = t.n)

@@ -65,7 +65,7 @@ def names(x: tuple[str, ...]) -> str:
 
 
 REGIME = f""", s0 AS (SELECT date, ticker, {roll('avg', 'ret', 63, 63)} AS m FROM p),
-s1 AS (SELECT c.date, avg(CASE WHEN ticker IN ({names(ON)}) THEN m END) AS s_on, avg(CASE WHEN ticker IN ({names(OFF)}) THEN m END) AS s_off FROM cal c LEFT JOIN s0 ON c.date = s0.date GROUP BY 1),
+s1 AS (SELECT c.date, CASE WHEN count(CASE WHEN ticker IN ({names(ON)}) THEN 1 END) = 0 THEN 0 ELSE avg(CASE WHEN ticker IN ({names(ON)}) THEN m END) END AS s_on, CASE WHEN count(CASE WHEN ticker IN ({names(OFF)}) THEN 1 END) = 0 THEN 0 ELSE avg(CASE WHEN ticker IN ({names(OFF)}) THEN m END) END AS s_off FROM cal c LEFT JOIN s0 ON c.date = s0.date GROUP BY 1),
 v1 AS (SELECT date, vix, coalesce((vix - {roll('avg', 'vix', 63, 63, '')}) / nullif({roll('stddev_samp', 'vix', 63, 63, '')}, 0), 0) AS dev FROM vix),
 score AS (SELECT s1.date, coalesce(CASE WHEN s_on IS NULL AND s_off IS NULL THEN NULL ELSE coalesce(s_on, 0) - coalesce(s_off, 0) END, 0) - coalesce(dev, 0) AS score, vix FROM s1 LEFT JOIN v1 ON s1.date = v1.date),
 regime AS (SELECT date, CASE WHEN score < 0 AND coalesce(vix > 20, false) THEN 'risk_off' WHEN score > 0 THEN 'risk_on' ELSE 'neutral' END AS regime, score FROM score)"""
