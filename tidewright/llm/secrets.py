@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -147,9 +146,3 @@ def digest(found: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-
-
-def reference(text: str | None) -> tuple[int, int, int, str]:
-    """Base columns of one text, for tests."""
-    spans = [(a, b, k) for a, b, k, _ in base_spans(text or "")]
-    return (*(sum(k == x for *_, k in spans) for x in KINDS[:3]), hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest())
