@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.columns import add_filled, rolling
 from tidewright.operators.correlation import market_correlation
-from tidewright.operators.signals import drawdown, inflow_outflow, relative_strength, wealth_drawdown
+from tidewright.operators.signals import inflow_outflow, relative_strength, wealth_drawdown
 
 DEAD_BAND = 1e-3
 
@@ -77,6 +77,3 @@ def market_features(panel: DataFrame, vix: DataFrame, tickers: list[str], vol_ro
     fall = wealth_drawdown(as_panel, dd_rows).select("date", F.col("value").alias("dd"))
     near = market_correlation(own, dd_rows).withColumnRenamed("value", "avg_corr")
     return series.join(near, "date", "left").join(fall, "date", "left").join(vix, "date", "left").select("date", "mkt_ret", "mkt_vol", "avg_corr", "disp", "dd", "vix")
-
-
-__all__ = ["category_rotation", "classify", "drawdown", "market_features", "regime_at", "risk_score", "sleeve", "vix_deviation"]
