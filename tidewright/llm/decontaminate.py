@@ -17,6 +17,10 @@ BUDGET = 0.1
 #: Characters of benchmark items that one pass over the documents takes (what is broadcast is bounded by this).
 PASS_CHARS = 4 << 20
 CHUNK = 1 << 20
+#: Pairs of equal grams that are counted at a time.
+PAIRS = 1 << 21
+#: Bits of a band's number, and the number of band 0: texts of up to 2^28 characters, and items as long as a pass, fit.
+BAND_BITS, BAND_ZERO = 29, 1 << 26
 _NOISE = re.compile(r"[\W_]+")
 _TABLE = 1 << 20
 
@@ -89,16 +93,26 @@ def candidates(text: np.ndarray, bounds: np.ndarray, items: Items) -> tuple[np.n
     inside = at + Q <= bounds[doc + 1]
     at, k, doc = at[inside], k[inside], doc[inside]
     times = items.begins[k + 1] - items.begins[k]
-    flat = np.arange(times.sum()) + np.repeat(items.begins[k] - (np.cumsum(times) - times), times)
-    item = items.owners[flat]
-    diagonal = np.repeat(at - bounds[doc], times) - items.places[flat]
-    band = diagonal // (items.budgets[item] + 1)
-    key = (np.repeat(doc, times) * len(items.ids) + item) << 24 | (band + (1 << 22))
-    key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-    item = (key >> 24) % len(items.ids)
-    good = count >= items.needs[item]
-    key, item = key[good], item[good]
-    return (key >> 24) // len(items.ids), item, (key & (1 << 24) - 1) - (1 << 22)
+    total = np.concatenate([[0], np.cumsum(times)])
+    keys, counts, i = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    while i < len(at):
+        # a gram that text and items repeat gives very many pairs, so they are counted in slices
+        j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS, "right")) - 1)
+        part = slice(i, j)
+        flat = np.arange(total[j] - total[i]) + np.repeat(items.begins[k[part]] - (total[i:j] - total[i]), times[part])
+        item = items.owners[flat]
+        diagonal = np.repeat(at[part] - bounds[doc[part]], times[part]) - items.places[flat]
+        band = diagonal // (items.budgets[item] + 1)
+        key = (np.repeat(doc[part], times[part]) * len(items.ids) + item) << BAND_BITS | (band + BAND_ZERO)
+        key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        if len(keys):
+            key, where = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            count = np.bincount(where, weights=np.concatenate([counts, count])).astype(np.int64)
+        keys, counts, i = key, count, j
+    item = (keys >> BAND_BITS) % len(items.ids)
+    good = counts >= items.needs[item]
+    keys, item = keys[good], item[good]
+    return (keys >> BAND_BITS) // len(items.ids), item, (keys & (1 << BAND_BITS) - 1) - BAND_ZERO
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, width: int, budget: int) -> tuple[int, int, int] | None:
