@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewright.llm.common import buffers, stash
 
 BINS = 1 << 15
-#: Bound on the labelled rows that the text model is fitted on.
+#: Bound on the labelled texts that the text model is fitted on.
 SAMPLE = 4000
 #: Overlapping trigrams are no independent evidence; their log-likelihood is scaled by this.
 TEMPER = 1 / 3
@@ -46,12 +46,13 @@ class Model:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit trigram models on at most ``sample`` labelled rows (text, lang), those of smallest hash.
+    """Fit trigram models on at most ``sample`` labelled texts (text, lang), those of smallest hash.
 
-    Ties at the last hash stay in. Null labels are no labels. Without labels there are no languages.
+    Copies of a text count once, however many there are, with the least of their labels. Null labels are no labels.
+    Without labels there are no languages.
     """
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    cut = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    cut = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -67,7 +68,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
     if cut is None:
         return Model([], np.full((BINS, 1), -np.log(BINS), np.float32))
-    counts = rows.filter(F.col("h") <= cut).select("lang", "text").mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    one = rows.filter(F.col("h") <= cut).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("one")).select("one.lang", "one.text")
+    counts = one.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     packed = counts.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("bins")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(packed) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages in the labels")
