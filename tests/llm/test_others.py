@@ -33,6 +33,16 @@ def test_secret_base(spark):
     assert secrets.digest(secrets.scan(docs.limit(0))).count() == 0
 
 
+def test_added_spans_keep_clear_of_base_ones():
+    rng = random.Random(4)
+    table = np.ones((len(secrets.ALPHABET) + 1, len(secrets.ALPHABET)))
+    for _ in range(200):
+        text = "".join(rng.choice([" ", "token=", "a" * 24, "AKIA" + "B" * 20, "Zq" * 12, "secret: "]) for _ in range(30))
+        base = [(a, b) for a, b, _, _ in secrets.base_spans(text)]
+        want = [m.span() for m in secrets.CANDIDATE.finditer(text) if not any(x < m.end() and m.start() < y for x, y in base)]
+        assert [(a, b) for a, b, k in secrets.spans_of(text, table, 20.0) if k == "markov"] == want
+
+
 def test_secret_models_tell_random_from_ordinary(spark):
     rng = random.Random(4)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -127,6 +137,21 @@ def test_decontaminate(spark):
     assert decontaminate.clean(few, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_item_at_the_end_of_a_very_long_text():
+    items = decontaminate.index([(1, "q7w8e9r0t1")], decontaminate.BUDGET)
+    text = "ab " * 4_500_000 + "q7w8e9r0t1"
+    assert set(decontaminate.matches([text], items)) == {(0, 0, len(text) - 10, len(text), 0)}
+
+
+@pytest.mark.parametrize("pairs", [1, 50, 1 << 21])
+def test_pairs_counted_in_slices(monkeypatch, pairs):
+    items = decontaminate.index([(1, "la " * 30 + "end"), (2, "what is the tallest mountain of the country"), (3, "la " * 12)], decontaminate.BUDGET)
+    texts = ["la " * 90 + "end", "he asked what is the tallest montain of the country " * 3, "", "nothing of it"]
+    want = set(decontaminate.matches(texts, items))
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    assert set(decontaminate.matches(texts, items)) == want and {m[:2] for m in want} >= {(0, 0), (1, 1), (0, 2)}
+
+
 def test_mixing_keeps_to_weights(spark):
     rows = [(i if i % 50 else None, f"t{i}", random.Random(i).choice(["a", "a", "a", "b", "c", None, "d"]), "x") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, slot string").repartition(5)
@@ -172,6 +197,14 @@ def test_language(spark):
     assert language.known_language(odd.selectExpr("doc_id", "text", "cast(NULL AS string) AS lang", "source")).count() == 5
 
 
+def test_language_sample_counts_copies_once(spark):
+    docs = spark.createDataFrame([("ab", "en")] * 500 + [("ab", "fr"), ("cd", "de"), (None, "en"), ("ef", None)], "text string, lang string").repartition(4)
+    model = language.train(docs, 2)
+    assert model.languages == ["de", "en"]
+    assert np.isclose(np.exp(model.table[:, 1]).max(), 1.5 / (language.BINS / 2 + 1), rtol=1e-3)
+    assert len(language.train(docs, 1).languages) == 1
+
+
 def test_language_of_pages(spark):
     base = [(i, "the and with from that house river stone", "en", "a") for i in range(30)] + [(99 + i, "der und mit von dass haus fluss stein", "de", "b") for i in range(30)]
     model = language.train(spark.createDataFrame(base, "doc_id long, text string, lang string, source string"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -101,10 +103,12 @@ def train(docs: DataFrame) -> np.ndarray:
 def spans_of(text: str, table: np.ndarray, threshold: float) -> list[tuple[int, int, str]]:
     """All spans of a text by start and kind: the fixed ones, and candidates clear of them that the models call random."""
     base = [(a, b, k) for a, b, k, _ in base_spans(text)]
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
     added = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not any(x < b and a < y for x, y, _ in base) and ratio(m.group(), table) >= threshold:
+        before = bisect_left(starts, b)
+        if not (before and reach[before - 1] > a) and ratio(m.group(), table) >= threshold:
             added.append((a, b, "markov"))
     return sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2])))
 
