@@ -199,7 +199,16 @@ weighted("t01_topn_weights", strategies.topn, f"{o.BASE}{_topn} SELECT date, tic
 _inv = f"{o.DATES}, s AS (SELECT date, ticker, px, tradable, {o.roll('stddev_samp', 'ret', 63, 31)} * sqrt(252) AS vol FROM p), t AS (SELECT date, ticker, 1 / vol AS w, sum(1 / vol) OVER (PARTITION BY date) AS total FROM s WHERE tradable AND px IS NOT NULL AND vol > 0 AND date IN (SELECT date FROM d))"
 weighted("t02_risk_parity", strategies.risk_parity, f"{o.BASE}{_inv} SELECT date, ticker, round(CASE WHEN total > 1 THEN w / total ELSE w END, 6) AS w FROM t")
 weighted("t03_equal_risk", lambda p, d: strategies.risk_parity(p, d, method="erc"))
-weighted("t04_composite", strategies.composite)
+_z = lambda x: f"CASE WHEN {x} IS NULL THEN NULL WHEN stddev_pop({x}) OVER (PARTITION BY date) > 1e-12 THEN ({x} - avg({x}) OVER (PARTITION BY date)) / stddev_pop({x}) OVER (PARTITION BY date) ELSE 0 END"
+_composite = f"""{o.DATES}, q AS (SELECT * FROM p WHERE tradable){o.pair_corr(120).replace("p x JOIN p y", "q x JOIN q y")},
+u AS (SELECT date, ticker, avg(c) AS c FROM (SELECT date, a AS ticker, c FROM c UNION ALL SELECT date, b, c FROM c) GROUP BY 1, 2),
+s AS (SELECT date, ticker, px, {o.momentum({252: 0.5, 126: 0.3, 63: 0.2})} AS mom, dollar_volume / nullif({o.roll('avg', 'dollar_volume', 20, 10)}, 0) AS dv, -({o.roll('stddev_samp', 'ret', 63, 31)} * sqrt(252)) AS nv, {o.change('px', 252)} AS am FROM q),
+x AS (SELECT s.*, -u.c AS nc FROM s LEFT JOIN u ON s.date = u.date AND s.ticker = u.ticker WHERE s.date IN (SELECT date FROM d)),
+z AS (SELECT date, ticker, px, am, 0.4e0 * ({_z('mom')}) + 0.2e0 * ({_z('dv')}) + 0.2e0 * ({_z('nv')}) + 0.2e0 * ({_z('nc')}) AS score FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS n FROM z WHERE px IS NOT NULL AND score IS NOT NULL AND am > 0),
+k AS (SELECT date, ticker, CASE WHEN score > 0 THEN score END AS up, score FROM r WHERE n <= 8),
+y AS (SELECT date, ticker, CASE WHEN sum(up) OVER (PARTITION BY date) > 0 THEN coalesce(up, 0) / sum(up) OVER (PARTITION BY date) ELSE 1.0e0 / count(*) OVER (PARTITION BY date) END AS w FROM k)"""
+weighted("t04_composite", strategies.composite, f"{o.BASE}{_composite} SELECT date, ticker, round(w, 6) AS w FROM y WHERE w > 0")
 weighted("t06_min_variance", strategies.min_variance)
 _live = f"{o.DATES}, a AS (SELECT date, ticker, category FROM p WHERE tradable AND px IS NOT NULL AND date IN (SELECT date FROM d))"
 _blocks = ", ".join(f"('{label}', '{c}', {w}e0)" for label, b in (("risk_on", BLOCK_ON), ("risk_off", BLOCK_OFF)) for c, w in b.items() if c != "cash")
