@@ -27,7 +27,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return sstable.token_table(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # tables keep no order of rows, so places in the mix, which depend on nothing but the rows, are counted again
+    placed = mixing.mixed(docs.select("doc_id", "text", "source"))
+    return sstable.token_table(placed, public_tokenizers.path("word_bpe_49k.json"), order="_position")
 
 
 STAGES = [

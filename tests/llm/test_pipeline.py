@@ -1,4 +1,8 @@
+import public_tokenizers
+
 import corpus_pipeline
+from tidewright.llm import mixing, sstable
+from tidewright.llm.common import fresh_path
 
 
 def test_stages_filter_and_keep_columns(spark):
@@ -10,3 +14,21 @@ def test_stages_filter_and_keep_columns(spark):
         assert out.columns == docs.columns and out.count() <= n
     got = corpus_pipeline.run(spark, sf).collect()
     assert 0 < len(got) <= n and len({r.doc_id for r in got}) == len(got)
+
+
+def test_token_shards_follow_the_mix(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = [r.doc_id for r in corpus_pipeline.run(spark, sf).orderBy("start").collect()]
+    placed = mixing.mixed(docs.join(spark.createDataFrame([(i,) for i in got], "doc_id long"), "doc_id", "left_semi"))
+    assert got == [r.doc_id for r in placed.orderBy("_position").collect()] != sorted(got)
+
+
+def test_ordered_shards_find_ids(spark):
+    docs = spark.createDataFrame([(i if i else None, f"word {i}", (i * 7) % 50) for i in range(50)], "doc_id long, text string, place long").repartition(3)
+    manifest = sstable.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), fresh_path(spark, "test-ordered"), shard_bytes=80, order="place")
+    rows = sstable.read_shards(manifest, True).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [r.doc_id for r in docs.orderBy("place").collect()]
+    readers = [sstable.ShardReader(r.path) for r in manifest.collect()]
+    for r in rows:
+        assert [x.tolist() for reader in readers for x in reader.get(r.doc_id)] == [r.ids]

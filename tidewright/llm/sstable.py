@@ -25,6 +25,8 @@ SHARD = 256 << 20
 CACHE = 500_000
 END_ID = 1
 MAGIC = b"TWSST001"
+#: Shards in an order of their own: a place's key stands before each id's.
+ORDERED = b"TWORDER1"
 FOOTER = struct.Struct("<QQQQQQ8s")
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
@@ -137,10 +139,12 @@ class ShardWriter:
 
     Layout: zstd-compressed blocks; index (for each block: key of its first entry, offset, size); Bloom filter over
     keys; footer (offsets and sizes of both, documents, ids, magic). An entry is varint shared key length, varint
-    further key length, varint value length, key bytes, ids as little-endian uint32.
+    further key length, varint value length, key bytes, ids as little-endian uint32. With ``ordered`` entries ascend by
+    (place, doc_id): a key is the place's and the id's, and the Bloom filter holds the ids' alone.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordered: bool = False):
+        self.magic = ORDERED if ordered else MAGIC
         system, inner = fs.FileSystem.from_uri(path)
         system.create_dir(os.path.dirname(inner), recursive=True)
         self.path, self.out = path, system.open_output_stream(inner)
@@ -148,8 +152,9 @@ class ShardWriter:
         self.at = self.docs = self.ids = self.raw = 0
         self.first = self.last = b""
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        key, value = key_of(doc_id), np.ascontiguousarray(ids, "<u4").tobytes()
+    def add(self, doc_id: int | None, ids: np.ndarray, place: int | None = None) -> None:
+        own, value = key_of(doc_id), np.ascontiguousarray(ids, "<u4").tobytes()
+        key = own if place is None else key_of(place) + own
         if len(self.block) >= BLOCK:
             self._flush()
         if not self.block:
@@ -158,7 +163,7 @@ class ShardWriter:
             shared = len(os.path.commonprefix([key, self.last]))
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(value)) + key[shared:] + value
         self.last = key
-        self.keys.append(key)
+        self.keys.append(own)
         self.docs, self.ids, self.raw = self.docs + 1, self.ids + len(ids), self.raw + len(value)
 
     def _flush(self) -> None:
@@ -178,7 +183,7 @@ class ShardWriter:
             for p in _bloom_places(key, bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         self.out.write(index + struct.pack("<Q", bits) + bloom.tobytes())
-        self.out.write(FOOTER.pack(self.at, len(index), self.at + len(index), 8 + len(bloom), self.docs, self.ids, MAGIC))
+        self.out.write(FOOTER.pack(self.at, len(index), self.at + len(index), 8 + len(bloom), self.docs, self.ids, self.magic))
         self.out.close()
 
 
@@ -190,8 +195,9 @@ class ShardReader:
         self.file = system.open_input_file(inner)
         size = self.file.size()
         index_at, index_n, bloom_at, bloom_n, self.docs, self.ids, magic = FOOTER.unpack(self._read(size - FOOTER.size, FOOTER.size))
-        if magic != MAGIC:
+        if magic not in (MAGIC, ORDERED):
             raise ValueError(f"{path} is no shard")
+        self.lead = 8 if magic == ORDERED else 0
         data, at = self._read(index_at, index_n), 0
         self.blocks: list[tuple[bytes, int, int]] = []
         while at < len(data):
@@ -221,13 +227,15 @@ class ShardReader:
     def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for b in range(len(self.blocks)):
             for key, ids in self.entries(b):
-                yield id_of(key), ids
+                yield id_of(key[self.lead :]), ids
 
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """Ids of all documents with this identifier."""
         key = key_of(doc_id)
         if any(not self.bloom[p >> 3] >> (p & 7) & 1 for p in _bloom_places(key, self.bits)):
             return []
+        if self.lead:  # ids lie in no order
+            return [ids for b in range(len(self.blocks)) for k, ids in self.entries(b) if k[self.lead :] == key]
         firsts = [b[0] for b in self.blocks]
         out = []
         for b in range(max(0, bisect.bisect_left(firsts, key) - 1), bisect.bisect_right(firsts, key)):
@@ -235,16 +243,18 @@ class ShardReader:
         return out
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int | None = END_ID, shard_bytes: int = SHARD) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int | None = END_ID, shard_bytes: int = SHARD, order: str | None = None) -> DataFrame:
     """Encode docs (doc_id, text; other columns are ignored) into shards under ``folder``; returns the manifest.
 
     Shards are disjoint ranges in ascending doc_id order (nulls first; rows that repeat an id lie side by side). A
     null text is empty and gets its end id alone. A file's name is new in each attempt of a task and the manifest
     names those of attempts that succeeded, so lost executors leave unused files at worst. Manifest: path, low,
-    low_tag (first entry), docs, ids.
+    low_tag (first entry), docs, ids. order: a column of whole numbers without nulls that gives the order instead of
+    doc_id; low is then its value.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("tag")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tag")
+    low_of = F.col(order or "doc_id").cast("long").alias("low")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"), low_of)
+    rows = rows.repartitionByRange(F.col("low").asc_nulls_first(), F.col("tag")).sortWithinPartitions(F.col("low").asc_nulls_first(), "tag")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out, done, low = encoder_for(tokenizer_path), None, [], None
@@ -255,10 +265,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
                 part = batch.slice(i, 2048)
                 texts = part.column(2)
                 texts = texts.cast(pa.large_string()) if texts.nbytes > 1 << 30 else texts
-                for doc_id, tag, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encoder.encode(texts), strict=True):
+                for doc_id, tag, ids, at in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encoder.encode(texts), part.column(3).to_pylist(), strict=True):
                     if out is None:
-                        out, low = ShardWriter(f"{name}-{len(done):04d}-{uuid.uuid4().hex}.sst"), (doc_id, tag)
-                    out.add(doc_id, np.concatenate([ids, end]))
+                        out, low = ShardWriter(f"{name}-{len(done):04d}-{uuid.uuid4().hex}.sst", bool(order)), (at, tag)
+                    out.add(doc_id, np.concatenate([ids, end]), at if order else None)
                     if out.raw >= shard_bytes:
                         out.close()
                         done.append((out.path, *low, out.docs, out.ids))
@@ -306,9 +316,9 @@ def _table(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
 
-def token_table(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int | None = END_ID) -> DataFrame:
-    """Write docs as shards (in the shared folder unless ``folder`` is given) and read them back."""
-    return read_shards(write_shards(docs, tokenizer_path, folder or fresh_path(docs.sparkSession, "shards"), end_id))
+def token_table(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int | None = END_ID, order: str | None = None) -> DataFrame:
+    """Write docs as shards (in the shared folder unless ``folder`` is given), by doc_id or ``order``, and read them back."""
+    return read_shards(write_shards(docs, tokenizer_path, folder or fresh_path(docs.sparkSession, "shards"), end_id, order=order))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
