@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewright.llm import chat, decontaminate, language, mixing, secrets, sstable, topk
@@ -205,6 +206,23 @@ def test_language_sample_counts_copies_once(spark):
     assert len(language.train(docs, 1).languages) == 1
 
 
+def test_language_sample_holds_rare_languages(spark):
+    rng = random.Random(6)
+    words = {"en": "the and with from that house river stone".split(), "fi": "ja tai joki talo kivi yhdessä mutta kuin".split(), "pl": "oraz dom rzeka kamień który przez tylko jest".split()}
+    rows = [(i, " ".join(rng.choices(words[lang], k=40)), lang) for i in range(3000) for lang in ["fi" if i % 1000 == 7 else "pl" if i % 300 == 3 else "en"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.lit("x")).repartition(4)
+    model = language.train(docs, 30)
+    assert model.languages == ["en", "fi", "pl"]
+    picked = language._sampled(docs.select(F.xxhash64("text").alias("h"), "lang"), 30)
+    by = {lang: sorted(r.h for r in docs.filter(F.col("lang") == lang).select(F.xxhash64("text").alias("h")).collect()) for lang in words}
+    want = {*by["fi"], *by["pl"][:10], *by["en"][: 30 - 3 - len(by["pl"][:10])]}
+    assert len(picked) == len({h for h, in picked}) == 30 and len(by["fi"]) == 3 and len(by["pl"]) == 10
+    assert {h for h, in picked} == want
+    assert language.train(docs, 30).table.tolist() == model.table.tolist()
+    found = {r.id: (r.language, r.rejected) for r in language.identify(language.evidence_of_documents(docs), model).collect()}
+    assert all(found[i] == (lang, False) for i, _, lang in rows if lang != "en")
+
+
 def test_language_of_pages(spark):
     base = [(i, "the and with from that house river stone", "en", "a") for i in range(30)] + [(99 + i, "der und mit von dass haus fluss stein", "de", "b") for i in range(30)]
     model = language.train(spark.createDataFrame(base, "doc_id long, text string, lang string, source string"))

@@ -46,13 +46,14 @@ class Model:
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit trigram models on at most ``sample`` labelled texts (text, lang), those of smallest hash.
+    """Fit trigram models on at most ``sample`` labelled texts (text, lang), those of smallest hash in each language.
 
-    Copies of a text count once, however many there are, with the least of their labels. Null labels are no labels.
-    Without labels there are no languages.
+    Languages take turns until the sample is full, so each has an equal share of it or all its texts, however rare it
+    is. Copies of a text count once, however many there are, with the least of their labels. Null labels are no
+    labels. Without labels there are no languages.
     """
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
-    cut = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    picked = _sampled(stash(rows.groupBy("h").agg(F.min("lang").alias("lang")), "hashes"), sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -66,9 +67,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             bins = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins), pa.string()), pa.array(bins.astype(np.int32)), pa.array(n[bins])], ["lang", "bin", "n"])
 
-    if cut is None:
+    if not picked:
         return Model([], np.full((BINS, 1), -np.log(BINS), np.float32))
-    one = rows.filter(F.col("h") <= cut).groupBy("h").agg(F.min(F.struct("lang", "text")).alias("one")).select("one.lang", "one.text")
+    one = rows.join(F.broadcast(rows.sparkSession.createDataFrame(picked, "h long")), "h", "left_semi").groupBy("h").agg(F.min(F.struct("lang", "text")).alias("one")).select("one.lang", "one.text")
     counts = one.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     packed = counts.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("bins")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(packed) > MOST_LANGUAGES:
@@ -80,6 +81,38 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     return Model([r.lang for r in packed], np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
+def _sampled(hashes: DataFrame, sample: int) -> list[tuple[int]]:
+    """The hashes (of h, lang) that come first by their rank in their language, then by hash: at most ``sample``.
+
+    Counts by length of the hash in bits bound what comes to the driver to about twice the sample.
+    """
+    bits = F.length(F.bin(F.col("h").bitwiseXOR(F.lit(-(2**63)))))
+    sizes: dict[str, dict[int, int]] = {}
+    for r in hashes.groupBy("lang", bits.alias("bits")).count().limit(64 * MOST_LANGUAGES + 1).collect():
+        sizes.setdefault(r.lang, {})[r.bits] = r["count"]
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in the labels")
+    totals = sorted(sum(n.values()) for n in sizes.values())
+    left, most = sample, 0
+    for i, n in enumerate(totals):  # small languages whole, the others up to an equal share
+        most = min(n, left // (len(totals) - i) + 1)
+        left -= min(n, left // (len(totals) - i))
+    near = F.lit(False)
+    for lang, n in sizes.items():
+        run, stop = 0, 64
+        for b in sorted(n):
+            run += n[b]
+            if run >= most:
+                stop = b
+                break
+        near = near | ((F.col("lang") == lang) & (bits <= stop))
+    groups: dict[str, list[int]] = {}
+    for r in hashes.filter(near).collect() if sizes else ():
+        groups.setdefault(r.lang, []).append(r.h)
+    ranked = sorted((rank, h) for found in groups.values() for rank, h in enumerate(sorted(found)))
+    return [(h,) for _, h in ranked[:sample]]
+
+
 def parent_of(host: Column) -> Column:
     """Where a host's prior comes from: its registered domain, or without dots its name less final digits."""
     return F.when(host.contains("."), F.substring_index(host, ".", -2)).otherwise(F.regexp_replace(host, "[0-9]+$", ""))
@@ -182,7 +215,7 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
 def known_language(docs: DataFrame) -> DataFrame:
     """docs without the rows in which no language is found; columns stay as they are.
 
-    The model is fitted on a bounded sample of the docs' own labels (lang).
+    The model is fitted on a bounded sample of the docs' own labels (lang), each language with its share of it.
     """
     gone = identify(evidence_of_documents(docs), train(docs)).filter("rejected").select(F.col("id").alias("_id"), F.col("tag").alias("_tag")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.hash(F.col("text").cast("string")) == F.col("_tag")), "left_anti")
