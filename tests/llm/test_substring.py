@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidewright.llm import superkmer
+from tidewright.llm import substring_bytes, suffix, superkmer
 from tidewright.llm.substring_bytes import removed_bytes
 from tidewright.llm.substring_words import removed_words
 from tidewright.llm.suffix import suffix_array
@@ -72,3 +72,37 @@ def test_suffix_array(seed):
     rng = np.random.default_rng(seed)
     codes = rng.integers(1, rng.integers(2, 6) + 1, rng.integers(1, 60))
     assert suffix_array(codes, int(codes.max())).tolist() == sorted(range(len(codes)), key=lambda i: codes[i:].tolist())
+
+
+@pytest.mark.parametrize("most", [2**63, 20_000])
+def test_suffix_array_of_many_names(monkeypatch, most):
+    # three codes in one key would not fit below MOST: 2^63 as it is, or lowered so that small inputs show it in recursion too
+    monkeypatch.setattr(suffix, "MOST", most)
+    rng = np.random.default_rng(9)
+    codes = rng.integers(1, 3_000_000_000 if most == 2**63 else 60, 120)
+    codes[60:] = codes[:60]
+    assert suffix_array(codes, int(codes.max())).tolist() == sorted(range(len(codes)), key=lambda i: codes[i:].tolist())
+
+
+@pytest.mark.parametrize("wide", [2000, 1])
+def test_buckets_beyond_the_limit_are_halved(spark, monkeypatch, wide):
+    monkeypatch.setattr(superkmer, "WIDE", wide)
+    monkeypatch.setattr(substring_bytes, "LIMIT", 4000)
+    over, calls, judge = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), substring_bytes.adjacent_equal
+
+    def counted(strings, copies, length):
+        calls.add(1)
+        over.add(sum(map(len, strings)) > 4000 + 4000 + 400)
+        return judge(strings, copies, length)
+
+    monkeypatch.setattr(substring_bytes, "adjacent_equal", counted)
+    monkeypatch.setattr(substring_bytes, "BATCH", 4000)
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passage = letters(260)
+    texts = [letters(rng.randrange(150, 300)) + passage + letters(rng.randrange(150, 300)) for _ in range(120)] + [letters(400) for _ in range(10)]
+    texts += texts[:3] + [texts[5][20:]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removed_bytes(docs).orderBy("doc_id").collect()]
+    assert got == brute(texts, 200, False)
+    assert calls.value and not over.value

@@ -16,6 +16,8 @@ from tidewright.llm.superkmer import merged, repeated
 LENGTH = 200
 GRAM = 64
 BATCH = 1 << 19
+#: Bytes of distinct strings above which a bucket is split again.
+LIMIT = 1 << 20
 
 
 def adjacent_equal(strings: list[bytes], copies: list[int], length: int) -> list[np.ndarray]:
@@ -51,7 +53,7 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_
     and, with ``with_bytes``, kept (binary). One row for each input row: a null text is empty; texts shorter than
     ``length`` lose nothing; repeated rows repeat each other; null doc_ids stay null.
     """
-    docs_z, spans = repeated(docs, False, length, gram, lambda s, c: adjacent_equal(s, c, length), BATCH)
+    docs_z, spans = repeated(docs, False, length, gram, lambda s, c: adjacent_equal(s, c, length), BATCH, LIMIT)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()

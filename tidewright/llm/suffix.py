@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Keys stay below this.
+MOST = 2**63
+
 
 def _names(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     order = np.argsort(key, kind="stable")
@@ -12,6 +15,17 @@ def _names(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return order, rank, int(rank[-1])
 
 
+def _joined(high: np.ndarray, low: np.ndarray, base: int) -> np.ndarray:
+    """Keys in the order of (high, low), low < base; high is renamed where the product would not fit a long."""
+    top = int(high.max(initial=0)) + 1
+    if top * base > MOST:
+        high = np.unique(high, return_inverse=True)[1]
+        top = int(high.max(initial=0)) + 1
+        if top * base > MOST:
+            raise OverflowError("too many codes for one suffix array")
+    return high * base + low
+
+
 def suffix_array(codes: np.ndarray, top: int) -> np.ndarray:
     """Start positions of all suffixes of ``codes`` (integers from 1 to ``top``) in lexicographic order.
 
@@ -21,6 +35,9 @@ def suffix_array(codes: np.ndarray, top: int) -> np.ndarray:
     (code, code, rank), so a binary search in each class gives every suffix its final place.
     """
     n = len(codes)
+    if (top + 1) ** 2 > MOST or (top + 1) * (n + 4) > MOST:
+        codes = np.unique(codes, return_inverse=True)[1] + 1
+        top = int(codes.max(initial=0))
     if n <= 3:
         return np.array(sorted(range(n), key=lambda i: codes[i:].tolist()), np.int64)
     s = np.concatenate([codes.astype(np.int64), np.zeros(4, np.int64)])
@@ -28,7 +45,7 @@ def suffix_array(codes: np.ndarray, top: int) -> np.ndarray:
     twos = np.arange(2, n, 3)
     sample = np.concatenate([ones, twos])
     base = top + 1
-    order, rank, most = _names((s[sample] * base + s[sample + 1]) * base + s[sample + 2])
+    order, rank, most = _names(_joined(s[sample] * base + s[sample + 1], s[sample + 2], base))
     name = np.empty(len(sample), np.int64)
     name[order] = rank
     if most < len(sample):
@@ -45,7 +62,9 @@ def suffix_array(codes: np.ndarray, top: int) -> np.ndarray:
     first, second = sample[sample % 3 == 1], sample[sample % 3 == 2]
     place = np.arange(len(zeros))
     place = place + np.searchsorted(s[first] * wide + ranks[first + 1], s[zeros] * wide + ranks[zeros + 1])
-    place = place + np.searchsorted((s[second] * base + s[second + 1]) * wide + ranks[second + 2], (s[zeros] * base + s[zeros + 1]) * wide + ranks[zeros + 2])
+    both = np.concatenate([second, zeros])
+    key = _joined(s[both] * base + s[both + 1], ranks[both + 2], wide)
+    place = place + np.searchsorted(key[: len(second)], key[len(second) :])
     out = np.empty(n, np.int64)
     taken = np.zeros(n, bool)
     taken[place] = True

@@ -8,7 +8,8 @@ same minimiser. Maximal runs of consecutive windows with one minimiser occurrenc
 2. ``hits``: a pre-aggregated count keeps minimisers that occur at least twice; the others cannot repeat.
 3. ``packed``: where all occurrences of a minimiser have one content, every window repeats and no text
    travels. Otherwise one packed string for each distinct content goes to its minimiser's bucket.
-   A minimiser with very many contents is split in two sides by the context that its windows must share.
+   A minimiser with very many contents is split in two sides by the context that its windows must share. With a
+   limit (bytes), buckets that are still larger are halved again until they fit.
 4. a bucket function (sorted windows, or a suffix array) judges windows exactly.
 5. ``spans_of``: verdicts return to all places; ``with_spans`` joins them to the documents.
 """
@@ -233,6 +234,95 @@ def _minimiser_at(part: bytes | list[bytes], m: int, words: bool, k: int) -> int
     return int(np.flatnonzero(grams.view(np.int64) == m)[0])
 
 
+def halves(s: bytes, m: int, low: int, high: int, length: int, k: int) -> list[tuple[int, int, bytes, int, int]]:
+    """``bucket, skip, s, low, high``: the windows of a string whose minimiser is at ``low`` to ``high`` in them, in two halves.
+
+    All windows of a half contain the bytes that its window of the largest and that of the smallest offset have in
+    common, whose hash is the bucket; so equal windows meet again, and a range of one offset holds one window.
+    """
+    where, n, mid = _minimiser_at(s, m, False, k), len(s) - length + 1, (low + high) // 2
+    cutoff, out = min(n, max(0, where - mid)), []
+    for a, b, first, last in ((low, mid, cutoff, n), (mid + 1, high, 0, cutoff)):
+        if first < last:
+            shared = s[where - a : where - b + length]
+            out.append((xxhash.xxh64_intdigest(shared, 16 + a * length + b) - 2**63, first, s[first : last - 1 + length], a, b))
+    return out
+
+
+def judged_in_bounds(strings: DataFrame, judge: Callable[[list[bytes], list[int]], list[np.ndarray]], batch_bytes: int, limit: int, length: int, k: int) -> DataFrame:
+    """``judged`` for bytes, where no bucket with over ``limit`` bytes of distinct strings is held or judged at once.
+
+    Such a bucket's strings pass through in halves (``halves``), which are dealt out again until all buckets fit: at
+    most as many rounds as halvings of the minimiser's offsets. Equal strings of a bucket are held once.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+    names = ["m", "content", "a", "b", "bucket", "skip", "copies", "s", "low", "high"]
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [()] * 10
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        seen: dict[bytes, int] = {}
+        out: list[tuple] = []
+        size = own = begin = passed = 0
+        last, over = None, False
+
+        def verdict(row: dict, a: int, b: int) -> tuple:
+            return (row["m"], row["content"], a + row["skip"], b + row["skip"], *[None] * 6)
+
+        def parted(row: dict) -> list[tuple]:
+            return [(row["m"], row["content"], None, None, bucket, row["skip"] + skip, row["copies"], s, a, b) for bucket, skip, s, a, b in halves(row["s"], row["m"], row["low"], row["high"], length, k)]
+
+        def flush() -> list[tuple]:
+            found = []
+            for row, again in zip(held, judge([r["s"] for r in held], [r["copies"] for r in held]), strict=True):
+                edge = np.diff(np.concatenate([[0], again.astype(np.int8), [0]]))
+                found += [verdict(row, int(a), int(b) - 1) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+            return found
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] != last:
+                    if size > batch_bytes:
+                        out += flush()
+                        held, size = [], 0
+                    seen, own, begin, over, last = {}, 0, len(held), False, row["bucket"]
+                if over:
+                    out += parted(row)
+                    passed += 2 * len(row["s"])
+                elif row["s"] in seen:
+                    held[seen[row["s"]]]["copies"] += row["copies"]
+                    out.append(verdict(row, 0, len(row["s"]) - length))
+                else:
+                    seen[row["s"]] = len(held)
+                    held.append(row)
+                    size, own = size + len(row["s"]), own + len(row["s"])
+                    if own > limit and row["low"] < row["high"]:
+                        over = True
+                        for r in held[begin:]:
+                            out += parted(r)
+                        passed += 2 * own
+                        held, size, seen = held[:begin], size - own, {}
+                if passed > 8 << 20 or len(out) > 1 << 17:
+                    yield table(out)
+                    out, passed = [], 0
+        if held:
+            out += flush()
+        yield table(out)
+
+    rest, found = strings.withColumns({"low": F.lit(0), "high": F.lit(length - k)}), None
+    while True:
+        done = rest.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "m long, content long, a int, b int, bucket long, skip int, copies long, s binary, low int, high int")
+        done = stash(done, "judged")
+        verdicts = done.filter("s IS NULL").select("m", "content", "a", "b")
+        found = verdicts if found is None else found.unionByName(verdicts)
+        rest = done.filter("s IS NOT NULL").select("bucket", "m", "content", "skip", "copies", "s", "low", "high")
+        if rest.isEmpty():
+            return found
+
+
 def judged(strings: DataFrame, judge: Callable[[list[bytes], list[int]], list[np.ndarray]], batch_bytes: int) -> DataFrame:
     """``m, content, a, b``: runs of repeated windows (first and last, counted in the super-k-mer).
 
@@ -265,8 +355,11 @@ def judged(strings: DataFrame, judge: Callable[[list[bytes], list[int]], list[np
     return strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "m long, content long, a int, b int")
 
 
-def repeated(docs: DataFrame, words: bool, length: int, k: int, judge: Callable, batch_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with compressed texts, and ``did, tag, spans`` (unit ranges, end exclusive) of repeated windows."""
+def repeated(docs: DataFrame, words: bool, length: int, k: int, judge: Callable, batch_bytes: int, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents with compressed texts, and ``did, tag, spans`` (unit ranges, end exclusive) of repeated windows.
+
+    limit: bytes of distinct strings above which a bucket is split again (bytes only).
+    """
     rows = identified(docs)
     kmers = super_kmers(rows, words, length, k)
     # a table of its own, so that both sides of the join are plain exchanges and a hot minimiser's rows can be split
@@ -280,7 +373,8 @@ def repeated(docs: DataFrame, words: bool, length: int, k: int, judge: Callable,
     wanted = contents.filter("variants > 1").select("at.*", "m", "content", "copies", (F.col("variants") > WIDE).alias("wide"))
     docs_z = carried(rows)
     strings = packed(docs_z, wanted, words, length, k)
-    verdicts = stash(same.unionByName(judged(strings, judge, batch_bytes)).dropDuplicates(), "verdicts")
+    found = judged(strings, judge, batch_bytes) if limit is None else judged_in_bounds(strings, judge, batch_bytes, limit, length, k)
+    verdicts = stash(same.unionByName(found).dropDuplicates(), "verdicts")
     spans = (
         hits.join(verdicts, ["m", "content"])
         .select("did", "tag", (F.col("first") + F.col("a")).alias("low"), (F.col("first") + F.col("b") + length).alias("high"))
