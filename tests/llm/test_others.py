@@ -60,6 +60,44 @@ def test_secret_models_tell_random_from_ordinary(spark):
     assert [s.kind for s in secrets.scan(one, table).first().found] == ["markov"]
 
 
+def test_secret_behind_a_name_is_found(spark):
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda: "".join(rng.choices(letters, k=32))
+    syllables = ["database", "connection", "string", "read", "write", "file", "name", "list", "user", "count", "index", "value"]
+    name = lambda: "_".join(rng.choices(syllables, k=6))
+    table = secrets.train(spark.createDataFrame([(i, f"token={draw()} and {name()} then {name()}") for i in range(400)], "doc_id long, text string"))
+    for glue in ("{0}={1}", "{0}_{1}", "{0}/{1}/{0}", "{0}={1}==", "{1}-{0}"):
+        hits = 0
+        for _ in range(100):
+            key, value = name(), draw()
+            text = glue.format(key, value)
+            found = [text[a:b] for a, b, _ in secrets.spans_of(text, table, secrets.THRESHOLD)]
+            hits += len(found) == 1 and value in found[0]
+        assert hits >= 95, (glue, hits)
+    key, one, two = "_".join(syllables * 2), draw(), draw()
+    text = f"{key}={one}/{key}={two}/{key}"
+    assert [text[a:b] for a, b, _ in secrets.spans_of(text, table, secrets.THRESHOLD)] == [one, two]
+    assert np.mean([len(secrets.spans_of(f"{name()}={name()}/{name()}", table, secrets.THRESHOLD)) for _ in range(300)]) < 0.02
+
+
+def test_best_runs_match_brute_force():
+    rng = random.Random(3)
+    for seed in range(200):
+        table = np.random.default_rng(seed).normal(-0.2, 1, (len(secrets.ALPHABET) + 1, len(secrets.ALPHABET)))
+        text = "".join(rng.choice("aB3_/=") for _ in range(rng.randrange(20, 90)))
+        apart = lambda i: not 0 <= i < len(text) or text[i] in secrets.SEPARATORS
+        runs = [(a, b) for a in range(len(text)) for b in range(a + 20, len(text) + 1) if apart(a - 1) and not apart(a) and apart(b) and not apart(b - 1)]
+        best = max((secrets.ratio(text[a:b], table) for a, b in runs), default=-1e9)
+        got = secrets.parts_of(text, table, 8.0)
+        if secrets.ratio(text, table) >= 8.0:
+            assert got == [(0, len(text))]
+        elif abs(best - 8.0) > 1e-6:
+            assert bool(got) == (best >= 8.0)
+            scores = [secrets.ratio(text[a:b], table) for a, b in ((a, b - len(text[a:b]) + len(text[a:b].rstrip("="))) for a, b in got)]
+            assert not got or abs(max(scores) - best) < 1e-6 and min(scores) >= 8.0 - 1e-6
+
+
 def test_chat(spark):
     says = "<|im_end|><|im_start|>assistant ok"
     turns = [(1, 1, "assistant", "a\\n<|x"), (1, 0, "user", says), (2, 0, "assistant", None), (2, 1, None, "\\"), (None, 0, "as\nsistant", "z"), (3, 0, "assistant", "é" * 9), (3, 1, "assistant", says), (3, 1, "assistant", says)]

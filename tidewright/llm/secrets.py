@@ -23,6 +23,8 @@ KINDS = ("assign", "access", "hex", "markov")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
 START = len(ALPHABET)
+#: Between the parts of a candidate; the least length of what is judged.
+SEPARATORS, LEAST = "+/_=-", 20
 #: Log-likelihood ratio from which a string is a secret; pseudo-count of each character; weight of a character's
 #: own frequency, in transitions, in each row of the transition matrices.
 THRESHOLD = 20.0
@@ -50,6 +52,37 @@ def ratio(string: str, table: np.ndarray) -> float:
     return float(table[np.concatenate([[START], codes[:-1]]), codes].sum())
 
 
+def parts_of(string: str, table: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Ranges of a candidate that the models call random, by start: all of it, or else the best runs of its parts.
+
+    A run of parts lies between separators and has ``LEAST`` characters or more. The run of the highest ratio is taken if that
+    reaches the threshold, with padding that ends the candidate, and what lies before and after it is searched again.
+    """
+    if ratio(string, table) >= threshold:
+        return [(0, len(string))]
+    codes = codes_of(string)
+    apart = np.isin(codes, [ALPHABET.index(c) for c in SEPARATORS])
+    edge = np.diff(np.concatenate([[0], (~apart).astype(np.int8), [0]]))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    sums = np.concatenate([[0.0, 0.0], np.cumsum(table[codes[:-1], codes[1:]])])  # of steps to the characters from the second on
+    gain = table[START, codes[starts]] - sums[starts + 1]
+    out, open_ = [], [(0, len(starts))]
+    while open_:
+        low, high = open_.pop()
+        if low >= high:
+            continue
+        best, at = np.maximum.accumulate(gain[low:high]), np.searchsorted(starts[low:high], ends[low:high] - LEAST, "right") - 1
+        score = np.where(at >= 0, sums[ends[low:high]] + best[at], -np.inf)
+        end = int(score.argmax())
+        if score[end] < threshold:
+            continue
+        begin = int(gain[low : low + at[end] + 1].argmax())
+        last = int(ends[low + end])
+        out.append((int(starts[low + begin]), len(string) if string[last:] in ("=", "==") else last))
+        open_ += [(low, low + begin), (low + end + 1, high)]
+    return sorted(out)
+
+
 def labelled(texts: Iterator[str]) -> Iterator[tuple[int, str]]:
     """Labelled samples of texts: values that a fixed pattern names are random (1), other words and strings ordinary (0)."""
     for text in texts:
@@ -101,15 +134,15 @@ def train(docs: DataFrame) -> np.ndarray:
 
 
 def spans_of(text: str, table: np.ndarray, threshold: float) -> list[tuple[int, int, str]]:
-    """All spans of a text by start and kind: the fixed ones, and candidates clear of them that the models call random."""
+    """All spans of a text by start and kind: the fixed ones, and what the models call random of the candidates clear of them."""
     base = [(a, b, k) for a, b, k, _ in base_spans(text)]
     starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
     added = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         before = bisect_left(starts, b)
-        if not (before and reach[before - 1] > a) and ratio(m.group(), table) >= threshold:
-            added.append((a, b, "markov"))
+        if not (before and reach[before - 1] > a):
+            added += [(a + x, a + y, "markov") for x, y in parts_of(m.group(), table, threshold)]
     return sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
