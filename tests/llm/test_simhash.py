@@ -79,3 +79,9 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {n: got.get(n, n) for n in label} == label
+
+
+def test_one_id_with_several_texts(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta", 7), (1, "one two three four five six", 7), (2, "alpha beta gamma delta", 7), (None, "quite another text", 7)], "doc_id long, text string, did int")
+    assert sorted(str(r.text) for r in one_of_each(docs).collect()) == ["alpha beta gamma delta", "one two three four five six", "quite another text"]
+    assert one_of_each(docs).columns == docs.columns

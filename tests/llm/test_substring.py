@@ -106,3 +106,41 @@ def test_buckets_beyond_the_limit_are_halved(spark, monkeypatch, wide):
     got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removed_bytes(docs).orderBy("doc_id").collect()]
     assert got == brute(texts, 200, False)
     assert calls.value and not over.value
+
+
+@pytest.mark.parametrize("wide", [1000, 0])
+def test_equal_hashes_of_unlike_strings_do_no_harm(spark, monkeypatch, wide):
+    scan, hashes = superkmer._scan, superkmer.window_hashes
+
+    def same_content(*args):
+        for doc, first, count, low, content in scan(*args):
+            yield doc, first, count, np.zeros_like(low), np.zeros_like(content)
+
+    def same_window(*args):
+        owner, place, w = hashes(*args)
+        return owner, place, np.zeros_like(w)
+
+    monkeypatch.setattr(superkmer, "_scan", same_content)
+    monkeypatch.setattr(superkmer, "window_hashes", same_window)
+    monkeypatch.setattr(superkmer, "WIDE", wide)
+    texts = corpus(11, 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [(r.n_words, r.n_removed, r.kept_sha256) for r in removed_words(docs).orderBy("doc_id").collect()]
+    want = brute(texts, 35, True)
+    assert got == [(w[0], w[1], w[3]) for w in want] and sum(w[1] for w in want) > 0
+    got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in removed_bytes(docs).orderBy("doc_id").collect()]
+    assert got == brute(texts, 200, False)
+
+
+def test_rows_without_ids_and_many_equal_rows(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, same = words(60), words(80)
+    texts = [words(50) + " " + passage, passage + " " + words(40), words(90), *[words(45) for _ in range(50)], *[same] * 2000]
+    ids = [None] * 53 + [7 if i % 2 else None for i in range(2000)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in zip(ids, texts)], "doc_id long, text string, tid int, z string").repartition(4)
+    for got, want in (
+        (removed_words(docs).select("doc_id", "n_words", "n_removed", "kept_sha256"), [(i, w[0], w[1], w[3]) for i, w in zip(ids, brute(texts, 35, True))]),
+        (removed_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), [(i, *w) for i, w in zip(ids, brute(texts, 200, False))]),
+    ):
+        assert Counter(map(tuple, got.collect())) == Counter(want)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,19 +16,37 @@ from pyspark.sql import functions as F
 #: ASCII white space: the bytes between words, as in ``[^\x20\x09-\x0D]+`` and ``bytes.split()``.
 SPACES = b"\t\n\x0b\x0c\r "
 NO_ID = -(2**63)
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``) with its scheme. Unset, it is a temporary one, in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidewright-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidewright-")
+        atexit.register(shutil.rmtree, folder, True)
+        found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return qualified(spark, found).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme: without one it means the default file system, as Spark reads it."""
+    return path if "://" in path else _system(spark, path)[1].toString().replace("file:/", "file:///", 1)
+
+
+def _system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, at.makeQualified(system.getUri(), system.getWorkingDirectory())
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewright-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/tidewright-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -34,17 +54,72 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path.rsplit("/", 1)[0]
+    return out
+
+
+def drop(*stashed: DataFrame) -> None:
+    """Delete the files of stashed tables that no later plan reads."""
+    for df in stashed:
+        if getattr(df, "scratch", None) in _made:
+            _made.remove(df.scratch)
+            _system(df.sparkSession, df.scratch)[0].delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch), True)
+
+
+def scratch_mark() -> int:
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, mark: int, keep: list[DataFrame]) -> None:
+    """Delete all scratch made since ``mark`` but the tables to keep: once a result is stashed, nothing reads the rest."""
+    kept = {df.scratch for df in keep}
+    for folder in [f for f in _made[mark:] if f not in kept]:
+        _made.remove(folder)
+        _system(spark, folder)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
+
+
+def text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text (null: empty): two XXH64 hashes, of unlike seeds."""
+    whole = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(whole), F.xxhash64(F.lit("tidewright"), whole)
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``did, tag, doc_id, text``: row identity that also holds for null and repeated doc_ids.
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``did, one, two, doc_id, text``: doc_id and 128 bits of the text identify a row; null ids are ``NO_ID`` in did.
 
-    Rows that agree in doc_id and text share an identity, which is harmless: their results are equal.
+    Rows that agree in doc_id and text are one and the same to every operator: their results are equal.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    one, two = text_key(F.col("text"))
     doc_id = F.col("doc_id").cast("long")
-    return docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("did"), F.hash(text).alias("tag"), doc_id.alias("doc_id"), text.alias("text"))
+    return docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("did"), one.alias("one"), two.alias("two"), doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows that ``gone`` (did, one, two) identifies; columns stay as they are, whatever their names.
+
+    The rows' own columns travel as one struct, so that no name of theirs can clash.
+    """
+    return _split(docs, gone, "left_anti")
+
+
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs that ``kept`` (did, one, two) identifies."""
+    return _split(docs, kept, "left_semi")
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """``row, did, one, two``: each row as one struct with its identity."""
+    one, two = text_key(F.col("text"))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), one.alias("one"), two.alias("two"))
+
+
+def unwrapped(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
+def _split(docs: DataFrame, marked: DataFrame, how: str) -> DataFrame:
+    return unwrapped(wrapped(docs).join(marked.select("did", "one", "two"), ["did", "one", "two"], how))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

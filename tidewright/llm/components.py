@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import stash
+from tidewright.llm.common import drop, stash
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         large = stash(large, "large")
         low = stash(large.groupBy("u").agg(F.min("v").alias("w")), "low")
         small = large.join(low, "u").filter("v != w").select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(low.select("u", F.col("w").alias("v")))
-        edges = stash(small.distinct(), "links")
+        used, edges = (edges, least, large, low), stash(small.distinct(), "links")
+        drop(*used)
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before or not after[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

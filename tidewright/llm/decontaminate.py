@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import NO_ID, keyed_rows, stash, without
+
 Q = 8
 #: Share of an item's characters that may be edited.
 BUDGET = 0.1
@@ -34,23 +36,25 @@ def units(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """A hash for each run of Q = 8 units."""
-    if len(codes) < Q:
+def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    """A hash for each run of q units, q at most Q."""
+    if len(codes) < q:
         return np.zeros(0, np.uint64)
-    quads = np.ndarray((len(codes) - 3,), "<u8", np.ascontiguousarray(codes), strides=(2,))
-    x = quads[:-4] * np.uint64(0x9E3779B97F4A7C15) + quads[4:] * np.uint64(0xD1342543DE82EF95)
+    if q == Q:
+        quads = np.ndarray((len(codes) - 3,), "<u8", np.ascontiguousarray(codes), strides=(2,))
+        x = quads[:-4] * np.uint64(0x9E3779B97F4A7C15) + quads[4:] * np.uint64(0xD1342543DE82EF95)
+    else:
+        n, x = len(codes) - q + 1, np.zeros(len(codes) - q + 1, np.uint64)
+        for i in range(q):
+            x = (x + codes[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 @dataclass
-class Items:
-    """Benchmark items of one pass: units, edit budgets and an index from grams to (item, place)."""
+class Table:
+    """An index from grams of q units to (item, place)."""
 
-    ids: list
-    codes: list
-    budgets: np.ndarray
-    needs: np.ndarray
+    q: int
     keys: np.ndarray
     begins: np.ndarray
     owners: np.ndarray
@@ -58,23 +62,43 @@ class Items:
     seen: np.ndarray
 
 
+@dataclass
+class Items:
+    """Benchmark items of one pass: units, edit budgets, least counts of shared grams, and an index for each width of grams.
+
+    ``short``: the items of under Q characters, each between two spaces.
+    """
+
+    ids: list
+    codes: list
+    budgets: np.ndarray
+    needs: np.ndarray
+    tables: list[Table]
+    short: Items | None = None
+
+
 def index(rows: list[tuple], budget: float) -> Items:
-    """The q-gram lemma: an occurrence with at most e edits keeps n - Q + 1 - Q e of an item's n - Q + 1 grams.
+    """The q-gram lemma: an occurrence with at most e edits keeps n - q + 1 - q e of an item's n - q + 1 grams.
 
-    An item's budget is lowered until at least one gram must be kept.
+    q is Q, or less for items of which at least one gram of Q units need not be kept.
     """
     codes = [units(t) for _, t in rows]
     n = np.array([len(c) for c in codes], np.int64)
-    budgets = np.minimum((n * budget).astype(np.int64), np.maximum((n - Q) // Q, 0))
-    all_ = [grams(c) for c in codes]
-    keys = np.concatenate([*all_, np.zeros(0, np.uint64)])
-    owners = np.repeat(np.arange(len(rows)), [len(g) for g in all_])
-    places = np.concatenate([*(np.arange(len(g)) for g in all_), np.zeros(0, np.int64)]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    unique, begins = np.unique(keys[order], return_index=True)
-    seen = np.zeros(_TABLE, bool)
-    seen[(unique >> np.uint64(44)).astype(np.int64)] = True
-    return Items([i for i, _ in rows], codes, budgets, n - Q + 1 - Q * budgets, unique, np.append(begins, len(keys)), owners[order], places[order], seen)
+    budgets = (n * budget).astype(np.int64)
+    widths = np.minimum(Q, n // (budgets + 1))
+    tables = []
+    for q in np.unique(widths[n > 0]).tolist():
+        own = np.flatnonzero(widths == q)
+        all_ = [grams(codes[i], q) for i in own]
+        keys = np.concatenate(all_)
+        owners = np.repeat(own, [len(g) for g in all_])
+        places = np.concatenate([np.arange(len(g)) for g in all_]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        unique, begins = np.unique(keys[order], return_index=True)
+        seen = np.zeros(_TABLE, bool)
+        seen[(unique >> np.uint64(44)).astype(np.int64)] = True
+        tables.append(Table(q, unique, np.append(begins, len(keys)), owners[order], places[order], seen))
+    return Items([i for i, _ in rows], codes, budgets, n - widths + 1 - widths * budgets, tables)
 
 
 def candidates(text: np.ndarray, bounds: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,25 +107,30 @@ def candidates(text: np.ndarray, bounds: np.ndarray, items: Items) -> tuple[np.n
     A band of item i is 2 (e + 1) diagonals wide and begins every e + 1, so the diagonals of an occurrence with at
     most e edits, which span at most e, lie in one band.
     """
-    g = grams(text)
-    at = np.flatnonzero(items.seen[(g >> np.uint64(44)).astype(np.int64)])
-    k = np.searchsorted(items.keys, g[at])
-    k[k == len(items.keys)] = 0
-    hit = items.keys[k] == g[at]
+    found = [_candidates(text, bounds, items, t) for t in items.tables]
+    return tuple(np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3))
+
+
+def _candidates(text: np.ndarray, bounds: np.ndarray, items: Items, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    g = grams(text, table.q)
+    at = np.flatnonzero(table.seen[(g >> np.uint64(44)).astype(np.int64)])
+    k = np.searchsorted(table.keys, g[at])
+    k[k == len(table.keys)] = 0
+    hit = table.keys[k] == g[at]
     at, k = at[hit], k[hit]
     doc = np.searchsorted(bounds, at, "right") - 1
-    inside = at + Q <= bounds[doc + 1]
+    inside = at + table.q <= bounds[doc + 1]
     at, k, doc = at[inside], k[inside], doc[inside]
-    times = items.begins[k + 1] - items.begins[k]
+    times = table.begins[k + 1] - table.begins[k]
     total = np.concatenate([[0], np.cumsum(times)])
     keys, counts, i = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
     while i < len(at):
         # a gram that text and items repeat gives very many pairs, so they are counted in slices
         j = max(i + 1, int(np.searchsorted(total, total[i] + PAIRS, "right")) - 1)
         part = slice(i, j)
-        flat = np.arange(total[j] - total[i]) + np.repeat(items.begins[k[part]] - (total[i:j] - total[i]), times[part])
-        item = items.owners[flat]
-        diagonal = np.repeat(at[part] - bounds[doc[part]], times[part]) - items.places[flat]
+        flat = np.arange(total[j] - total[i]) + np.repeat(table.begins[k[part]] - (total[i:j] - total[i]), times[part])
+        item = table.owners[flat]
+        diagonal = np.repeat(at[part] - bounds[doc[part]], times[part]) - table.places[flat]
         band = diagonal // (items.budgets[item] + 1)
         key = (np.repeat(doc[part], times[part]) * len(items.ids) + item) << BAND_BITS | (band + BAND_ZERO)
         key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
@@ -148,7 +177,13 @@ def align(item: np.ndarray, text: np.ndarray, low: int, width: int, budget: int)
 
 
 def matches(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, item, start, end, edits) of every verified region of normalised texts; one for each band at most."""
+    """(text, item, start, end, edits) of every verified region of normalised texts; one for each band at most.
+
+    Items of under Q characters (numbered after the others) are found as whole words only.
+    """
+    if items.short:
+        for text, item, start, end, _ in matches([f" {t} " for t in texts], items.short):
+            yield text, len(items.codes) + item, start, end - 2, 0
     i = 0
     while i < len(texts):
         part, size = [], 0
@@ -174,53 +209,74 @@ def matches(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, int
 
 
 def passes(benchmark: DataFrame, budget: float) -> Iterator[Items]:
-    """The benchmark in bounded blocks; items that are empty once normalised or shorter than Q take no part."""
+    """The benchmark in bounded blocks; items that are empty once normalised take no part."""
     rows, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         text = normal(r[1])
-        if len(text) < Q:
+        if not text:
             continue
         rows.append((r[0], text))
         size += len(text)
         if size >= PASS_CHARS:
-            yield index(rows, budget)
+            yield block_of(rows, budget)
             rows, size = [], 0
     if rows:
-        yield index(rows, budget)
+        yield block_of(rows, budget)
+
+
+def block_of(rows: list[tuple], budget: float) -> Items:
+    """Items (id, normalised text) of any length above 0."""
+    items = index([r for r in rows if len(r[1]) >= Q], budget)
+    if short := [(i, f" {t} ") for i, t in rows if len(t) < Q]:
+        items.short = index(short, 0.0)
+    return items
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """``doc_id, tag, item_id, start, end, edits, item_chars``: regions of docs within an item's edit budget.
+    """``doc_id, one, two, item_id, start, end, edits, item_chars``: regions of docs within an item's edit budget.
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Places are characters of the
     normalised text (``normal``). A null text is empty and holds nothing; repeated documents or items repeat their
-    rows; null ids stay null. Regions are the best alignments of each band, overlapping bands' equal ones once. The
-    benchmark is read in blocks of bounded size, one pass over the documents for each. ``tag`` hashes the text.
+    rows; null ids stay null. Regions are the best alignments of each band, overlapping bands' equal ones once. Items of
+    under 8 characters are found as whole words without edits. ``one, two`` stand for the text.
+
+    The benchmark is read in blocks of bounded size, one pass over the documents for each; if there are several, each
+    pass is written before the next block is built, so one block is in memory at a time.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"))
-    names = ["doc_id", "tag", "item_id", "start", "end", "edits", "item_chars"]
-    schema = "doc_id long, tag int, item_id long, start long, end long, edits int, item_chars int"
-    out = docs.sparkSession.createDataFrame([], schema)
+    rows = keyed_rows(docs).select("doc_id", "one", "two", "text")
+    names = ["doc_id", "one", "two", "item_id", "start", "end", "edits", "item_chars"]
+    schema = "doc_id long, one long, two long, item_id long, start long, end long, edits int, item_chars int"
+    spark = docs.sparkSession
+    out, last = spark.createDataFrame([], schema), None
     for items in passes(benchmark, budget):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        if last:
+            out = out.unionByName(stash(last[0], "leaks"))
+            last[1].destroy()
+        shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
+            ids = own.ids + (own.short.ids if own.short else [])
+            chars = [len(c) for c in own.codes] + ([len(c) - 2 for c in own.short.codes] if own.short else [])
             for batch in batches:
-                found = sorted(set(matches([normal(t.as_py()) for t in batch.column(2)], own)))
+                found = sorted(set(matches([normal(t.as_py()) for t in batch.column(3)], own)))
                 at = pa.array([f[0] for f in found], pa.int64())
                 item = [f[1] for f in found]
-                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array([own.ids[x] for x in item], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int32()), pa.array([len(own.codes[x]) for x in item], pa.int32())]
+                columns = [*(batch.column(c).take(at) for c in range(3)), pa.array([ids[x] for x in item], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int32()), pa.array([chars[x] for x in item], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
-    return out
+        last = rows.mapInArrow(run, schema), shared
+    return out.unionByName(last[0]) if last else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """docs without those that hold a benchmark item; columns stay as they are."""
-    marked = leaks(docs, benchmark, budget).select(F.col("doc_id").alias("_leak"), F.col("tag").alias("_tag")).distinct()
-    return docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")) & (F.hash("text") == F.col("_tag")), "left_anti")
+    """docs without those that hold a benchmark item; columns stay as they are, whatever their names.
+
+    Rows that agree in doc_id and text share one fate. Null texts and rows without an id are fine; an empty
+    benchmark takes nothing.
+    """
+    marked = leaks(docs, benchmark, budget)
+    return without(docs, marked.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "one", "two").distinct())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

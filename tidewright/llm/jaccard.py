@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import NO_ID, buffers, identified, mix, stash
+from tidewright.llm.common import NO_ID, buffers, drop, keyed_rows, mix, stash, unwrapped, wrapped
 from tidewright.llm.components import components
 from tidewright.llm.superkmer import word_codes, words_of
 
@@ -76,19 +76,19 @@ def node_of(codes: np.ndarray) -> int:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``did, tag, node, keys`` for each row of identified documents."""
+    """``did, one, two, node, keys`` for each of keyed rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, keys = [], []
-            for codes in codes_of(batch.column(2)):
+            for codes in codes_of(batch.column(3)):
                 nodes.append(node_of(codes))
                 keys.append(bands(shingles(codes)).view(np.int64))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), lists], ["did", "tag", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(nodes, pa.int64()), lists], ["did", "one", "two", "node", "keys"])
 
-    return docs.select("did", "tag", "text").mapInArrow(run, "did long, tag int, node long, keys array<long>")
+    return docs.select("did", "one", "two", "text").mapInArrow(run, "did long, one long, two long, node long, keys array<long>")
 
 
 def with_sets(texts: DataFrame) -> DataFrame:
@@ -144,17 +144,19 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, deal: int = DEA
     that stay are that alike. A group of over ``deal`` texts is first dealt out by hash and thinned part by part: a
     text may go there for one that goes for a third in the second pass. Copies (equal words) are one text.
     """
-    rows = identified(docs)
+    key = ["did", "one", "two"]
+    rows = keyed_rows(docs)
     found = stash(keyed(rows), "keys")
-    # the order of texts: by doc_id, nulls last, copies by tag
+    # the order of texts: by doc_id, nulls last, copies by their hashes
     place = F.when(F.col("did") == NO_ID, F.lit(2**63 - 1)).otherwise(F.col("did"))
-    nodes = stash(found.groupBy("node").agg(F.min(F.struct(place.alias("at"), "did", "tag")).alias("first"), F.first("keys").alias("keys")), "nodes")
+    nodes = stash(found.groupBy("node").agg(F.min(F.struct(place.alias("at"), *key)).alias("first"), F.first("keys").alias("keys")), "nodes")
     pairs = nodes.select("node", F.explode("keys").alias("key"))
     least = stash(pairs.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1").select("key", "low"), "least")
     roots = components(pairs.join(least, "key").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     roots = stash(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "roots")
-    asked = nodes.join(roots, "node").select(F.col("first.did").alias("did"), F.col("first.tag").alias("tag"), F.col("first.at").alias("at"), "node", "root")
-    sets = stash(with_sets(rows.join(asked, ["did", "tag"])), "sets")
+    drop(least)
+    asked = nodes.join(roots, "node").select(*(F.col(f"first.{c}").alias(c) for c in [*key, "at"]), "node", "root")
+    sets = stash(with_sets(rows.select(*key, "text").join(asked, key).dropDuplicates(["node"])), "sets")
     sizes = stash(sets.groupBy("root").agg(F.count("*").alias("n")), "sizes")
     parts = F.expr(f"(n + {deal - 1}) div {deal}")
     dealt = sets.join(sizes, "root").withColumn("deal", F.when(F.col("n") > deal, F.pmod(F.xxhash64("node"), parts)).otherwise(F.lit(0).cast("long")))
@@ -163,10 +165,10 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, deal: int = DEA
     if not large.isEmpty():
         rest = sets.join(large, "root").join(gone, "node", "left_anti").withColumn("deal", F.lit(0).cast("long"))
         gone = stash(gone.unionByName(led(rest, similarity).select("node")), "gone")
-    kept = stash(nodes.join(gone, "node", "left_anti").select(F.col("first.did").alias("_did"), F.col("first.tag").alias("_tag")), "kept")
-    again = stash(found.groupBy(F.col("did").alias("_did"), F.col("tag").alias("_tag")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_did", "_tag"), "again")
-    named = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_tag": F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    out = named.join(kept, ["_did", "_tag"], "left_semi")
+    kept = stash(nodes.join(gone, "node", "left_anti").select(*(F.col(f"first.{c}").alias(c) for c in key)), "kept")
+    again = stash(found.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), "again")
+    drop(sets, sizes, nodes, found)
+    out = wrapped(docs).join(kept, key, "left_semi")
     if not again.isEmpty():
-        out = out.join(again, ["_did", "_tag"], "left_anti").unionByName(out.join(again, ["_did", "_tag"], "left_semi").dropDuplicates(["_did", "_tag"]))
-    return out.select(*docs.columns)
+        out = out.join(again, key, "left_anti").unionByName(out.join(again, key, "left_semi").dropDuplicates(key))
+    return unwrapped(out)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import buffers, stash
+from tidewright.llm.common import NO_ID, buffers, stash, text_key, without
 
 BINS = 1 << 15
 #: Bound on the labelled texts that the text model is fitted on.
@@ -146,25 +146,26 @@ def evidence_of_pages(pages: DataFrame) -> DataFrame:
 
 
 def identify(rows: DataFrame, model: Model) -> DataFrame:
-    """``id, tag, language, confidence, rejected`` for each row of rows (id, text, declared, suffix, host).
+    """``id, one, two, language, confidence, rejected`` for each row of rows (id, text, declared, suffix, host).
 
     log posterior = TEMPER * text log-likelihood + log P(declared | language) + log P(suffix | language)
     + log prior(language | host). A first pass on texts alone labels every row; grouped counts of these labels give
     the two confusion tables and the priors: host smoothed by parent, parent by the global shares, STRENGTH rows
     each. ``und`` competes with the uniform trigram model and the least prior less DOUBT: rows that it wins, and those with
     no trigram at all (null, empty and texts without letters) unless markup or suffix name a language, are rejected. Without
-    languages in the model nothing is rejected and language is null. ``tag`` hashes the text.
+    languages in the model nothing is rejected and language is null. ``one, two``: 128 bits that stand for the text.
     """
     spark, names = rows.sparkSession, model.languages
     k = len(names)
+    keys = [c.alias(n) for c, n in zip(text_key(F.col("text")), ("one", "two"), strict=True)]
     if not k:
-        return rows.select("id", F.hash("text").alias("tag"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("rejected"))
+        return rows.select("id", *keys, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("rejected"))
     shared = spark.sparkContext.broadcast(model.table)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            data, offsets = buffers(batch.column(5))
+            data, offsets = buffers(batch.column(6))
             out = np.zeros((batch.num_rows, k + 1))
             n = np.zeros(batch.num_rows, np.int64)
             for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
@@ -174,11 +175,11 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
                     out[i] += table[t].sum(axis=0, dtype=np.float64)
             lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, k + 1, dtype=np.int32), pa.array(out.reshape(-1)))
             best = np.where(n == 0, k, out.argmax(axis=1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(n), lists, pa.array(best)], ["id", "tag", "declared", "suffix", "host", "n", "logs", "best"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), pa.array(n), lists, pa.array(best)], ["id", "one", "two", "declared", "suffix", "host", "n", "logs", "best"])
 
     known = lambda c: F.when(F.col(c).isin(names), F.col(c)).when(F.coalesce(F.col(c), F.lit("")) == "", "").otherwise("?")
-    given = rows.select("id", F.hash("text").alias("tag"), known("declared").alias("declared"), known("suffix").alias("suffix"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    first = stash(given.mapInArrow(score, "id long, tag int, declared string, suffix string, host string, n long, logs array<double>, best int"), "texts")
+    given = rows.select("id", *keys, known("declared").alias("declared"), known("suffix").alias("suffix"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
+    first = stash(given.mapInArrow(score, "id long, one long, two long, declared string, suffix string, host string, n long, logs array<double>, best int"), "texts")
 
     counts = [F.sum(F.when(F.col("best") == i, 1.0).otherwise(0.0)).alias(f"n{i}") for i in range(k)]
     whole = first.agg(*counts).first()
@@ -209,16 +210,18 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
     scored = scored.withColumn("all", F.array(*(F.struct(total(i).alias("x"), F.lit(names[i]).alias("language")) for i in range(k)), F.struct(unknown.alias("x"), F.lit(UNKNOWN).alias("language"))))
     best = F.array_max("all")
     scored = scored.withColumn("top", best).withColumn("mass", F.aggregate("all", F.lit(0.0), lambda m, a: m + F.exp(a["x"] - F.col("top.x"))))
-    return scored.select("id", "tag", F.col("top.language").alias("language"), (1 / F.col("mass")).alias("confidence"), (F.col("top.language") == UNKNOWN).alias("rejected"))
+    return scored.select("id", "one", "two", F.col("top.language").alias("language"), (1 / F.col("mass")).alias("confidence"), (F.col("top.language") == UNKNOWN).alias("rejected"))
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """docs without the rows in which no language is found; columns stay as they are.
+    """docs without the rows in which no language is found; columns stay as they are, whatever their names.
 
-    The model is fitted on a bounded sample of the docs' own labels (lang), each language with its share of it.
+    docs: doc_id, text, lang, source and any others. The model is fitted on a bounded sample of the docs' own labels
+    (lang), each language with its share of it. Null, empty and letterless texts go unless markup or suffix names a
+    language; null ids, labels and sources are fine; repeated rows share one fate; without labels, or rows, nothing goes.
     """
-    gone = identify(evidence_of_documents(docs), train(docs)).filter("rejected").select(F.col("id").alias("_id"), F.col("tag").alias("_tag")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.hash(F.col("text").cast("string")) == F.col("_tag")), "left_anti")
+    gone = identify(evidence_of_documents(docs), train(docs)).filter("rejected")
+    return without(docs, gone.select(F.coalesce("id", F.lit(NO_ID)).alias("did"), "one", "two").distinct())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import stash
+from tidewright.llm.common import stash, text_key
 
 BLOCK = 64
 #: Blocks of each class in a period of the schedule; all sources not named are one class.
@@ -40,50 +40,63 @@ def schedule(spark: SparkSession, weights: dict[str, int]) -> DataFrame:
     return picked.select("x.class", "x.weight", nth.cast("long").alias("nth"), "slot")
 
 
-def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = OTHER_WEIGHT, block: int = BLOCK) -> DataFrame:
-    """docs with ``_class, _block, _slot, _position`` added: the order in which blocks of sources interleave.
+ADDED = ("_class", "_block", "_slot", "_position")
+
 
-    docs: doc_id, text, source and any other columns (kept). A source's rows in order of doc_id (nulls first, ties by
-    a hash of the text) form blocks of ``block`` rows. Sources that are not named, null ones included, are one class
-    of weight ``other``. No row is dropped: once a class has no blocks left its slots are passed over, and the others
-    keep their ratios. Rows of one class, however many, are spread over range partitions; running counts are kept
-    for each partition and class only.
+def placed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = OTHER_WEIGHT, block: int = BLOCK) -> DataFrame:
+    """``row`` (a struct of all columns of docs, whose names so can't clash) with ``class, block, slot, position``.
+
+    docs: doc_id, text, source and any other columns. A source's rows in order of doc_id (nulls first, ties by 128 bits of the text,
+    then by a hash of all columns but maps: rows that agree in all of it are interchangeable) form blocks of ``block`` rows. Sources
+    that are not named, null ones included, are one class of weight ``other``. No row is dropped: once a class has no
+    blocks left its slots are passed over, and the others keep their ratios. Rows of one class, however many, are spread
+    over range partitions; running counts are kept for each partition and class only. An empty table gives none.
     """
     spark = docs.sparkSession
     named = F.coalesce(F.col("source").cast("string"), F.lit(OTHER))
     label = F.when(named.isin([c for c in weights if c != OTHER]), named).otherwise(OTHER)
     plan = stash(schedule(spark, {**{c: a for c, a in weights.items() if c != OTHER}, OTHER: other}), "schedule")
-    rows = docs.withColumns({"_class": label, "_tag": F.hash("text")})
-    order = ["_class", F.col("doc_id").asc_nulls_first(), "_tag"]
-    rows = stash(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranged")
-    rows = rows.withColumn("_part", F.shiftright("_at", 33))
-    parts = rows.groupBy("_class", "_part").agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
-    before = Window.partitionBy("_class").orderBy("_part")
-    parts = stash(parts.withColumns({"_base": F.sum("_n").over(before) - F.col("_n"), "_total": F.sum("_n").over(Window.partitionBy("_class"))}).drop("_n"), "parts")
-    weight = plan.groupBy(F.col("class").alias("_class")).agg(F.first("weight").alias("_weight"))
-    parts = parts.join(F.broadcast(weight), "_class")
-    rank = F.col("_at") - F.col("_from") + F.col("_base")
-    rows = rows.join(parts, ["_class", "_part"]).withColumns({"_rank": rank, "_block": F.expr(f"({'_at - _from + _base'}) div {block}")})
-    plan = F.broadcast(plan.select(F.col("class").alias("_class"), F.col("nth").alias("_nth"), F.col("slot").alias("_in_period")))
+    one, two = text_key(F.col("text"))
+    rest = F.xxhash64(*(F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), label.alias("class"), F.col("doc_id").alias("id"), one.alias("one"), two.alias("two"), rest.alias("rest"))
+    order = ["class", F.col("id").asc_nulls_first(), "one", "two", "rest"]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "class", F.monotonically_increasing_id().alias("at"))
+    rows = stash(rows, "ranged").withColumn("part", F.shiftright("at", 33))
+    parts = rows.groupBy("class", "part").agg(F.min("at").alias("from"), F.count("*").alias("n"))
+    before = Window.partitionBy("class").orderBy("part")
+    parts = stash(parts.withColumns({"base": F.sum("n").over(before) - F.col("n"), "total": F.sum("n").over(Window.partitionBy("class"))}).drop("n"), "parts")
+    weight = plan.groupBy("class").agg(F.first("weight").alias("weight"))
+    parts = parts.join(F.broadcast(weight), "class")
+    rows = rows.join(parts, ["class", "part"]).withColumn("rank", F.expr("at - from + base")).withColumn("block", F.expr(f"rank div {block}"))
+    plan = F.broadcast(plan.select("class", "nth", F.col("slot").alias("in_period")))
     period = sum(a for c, a in weights.items() if c != OTHER) + other
-    rows = rows.withColumn("_nth", F.expr("_block % _weight")).join(plan, ["_class", "_nth"]).withColumn("_slot", F.expr(f"(_block div _weight) * {period} + _in_period"))
-    heads = rows.filter(f"_rank % {block} = 0").select("_slot", F.expr(f"least({block}, _total - _rank)").alias("size"), F.expr(f"_slot div {CHUNK}").alias("_chunk"))
-    chunks = heads.groupBy("_chunk").agg(F.sum("size").alias("size"))
-    chunks = chunks.select("_chunk", (F.sum("size").over(Window.orderBy("_chunk")) - F.col("size")).alias("_ahead"))
-    inner = F.sum("size").over(Window.partitionBy("_chunk").orderBy("_slot")) - F.col("size")
-    starts = heads.withColumn("_inner", inner).join(chunks, "_chunk").select("_slot", (F.col("_inner") + F.col("_ahead")).alias("_start"))
-    rows = rows.join(stash(starts, "starts"), "_slot").withColumn("_position", F.expr(f"_start + _rank % {block}"))
-    return rows.select(*docs.columns, "_class", "_block", "_slot", "_position")
+    rows = rows.withColumn("nth", F.expr("block % weight")).join(plan, ["class", "nth"]).withColumn("slot", F.expr(f"(block div weight) * {period} + in_period"))
+    heads = rows.filter(f"rank % {block} = 0").select("slot", F.expr(f"least({block}, total - rank)").alias("size"), F.expr(f"slot div {CHUNK}").alias("chunk"))
+    chunks = heads.groupBy("chunk").agg(F.sum("size").alias("size"))
+    chunks = chunks.select("chunk", (F.sum("size").over(Window.orderBy("chunk")) - F.col("size")).alias("ahead"))
+    inner = F.sum("size").over(Window.partitionBy("chunk").orderBy("slot")) - F.col("size")
+    starts = heads.withColumn("inner", inner).join(chunks, "chunk").select("slot", (F.col("inner") + F.col("ahead")).alias("start"))
+    rows = rows.join(stash(starts, "starts"), "slot").withColumn("position", F.expr(f"start + rank % {block}"))
+    return rows.select("row", "class", "block", "slot", "position")
+
+
+def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = OTHER_WEIGHT, block: int = BLOCK) -> DataFrame:
+    """docs with ``_class, _block, _slot, _position`` added (``placed``): the order in which blocks of sources interleave.
+
+    A column of docs that has one of these four names gives way to the added one; ``in_order`` keeps all columns.
+    """
+    found = placed(docs, weights, other, block)
+    return found.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED), *(F.col(c[1:]).alias(c) for c in ADDED))
 
 
 def in_order(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = OTHER_WEIGHT, block: int = BLOCK) -> DataFrame:
     """docs, all rows and the same columns, sorted by their place in the mix."""
-    return mixed(docs, weights, other, block).repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    return placed(docs, weights, other, block).repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    keys = docs.select("doc_id", F.hash("text").alias("text"), "source")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    keys = docs.select("doc_id", F.concat_ws(" ", *text_key(F.col("text"))).alias("text"), "source")  # the text decides ties only
     return mixed(keys).select("doc_id", "source", F.col("_class").alias("class"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_position").alias("position"))
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import stash, unsigned_hex
+from tidewright.llm.common import NO_ID, drop, keyed_rows, stash, unsigned_hex, unwrapped, wrapped
 from tidewright.llm.components import components
 
 SHINGLE = 4
@@ -47,14 +47,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, tag, fp`` for each row: tag is a hash of the text, fp the fingerprint's bits as a long."""
+    """``did, one, two, doc_id, fp`` for each of keyed rows, fp the fingerprint's bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "tag", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(4)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(fps.view(np.int64))], ["did", "one", "two", "doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tag int, fp long")
+    return keyed_rows(docs).mapInArrow(run, "did long, one long, two long, doc_id long, fp long")
 
 
 def _remainders(x: np.ndarray) -> np.ndarray:
@@ -188,7 +188,7 @@ def bucket_links(keyed: DataFrame, distance: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``doc_id, tag, fp, fingerprint, root, component_id`` for each row of docs (doc_id, text; other columns are ignored).
+    """``did, one, two, doc_id, fp, fingerprint, root, component_id`` for each row of docs (doc_id, text; other columns are ignored).
 
     Fingerprints at most ``distance`` (up to 4) bits apart link; component_id is the smallest doc_id reachable.
     Equal fingerprints are one node from the start, so groups of copies cost one row. Texts that are null, empty
@@ -215,25 +215,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     linked = stash(linked, "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp", "left").select("doc_id", "tag", "fp", unsigned_hex(F.col("fp")).alias("fingerprint"), "root", "component_id")
+    return rows.join(named, "fp", "left").select("did", "one", "two", "doc_id", "fp", unsigned_hex(F.col("fp")).alias("fingerprint"), "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each near-duplicate group: that of the smallest doc_id, rows that repeat it once.
+    """docs with one row of each near-duplicate group: that of the smallest doc_id (nulls last, ties by hashes of the text).
 
-    Columns stay as they are. Of a group in which no row has an id, one row stays.
+    Columns stay as they are. Rows are told apart by doc_id and text, so a doc_id that several groups share stays
+    in each of them; rows equal in both are one.
     """
-    found = stash(near_duplicates(docs, shingle, distance).select("doc_id", "tag", "root", "component_id"), "groups")
-    keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_times"))
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    again = keep.filter("_times > 1").select("doc_id")
-    if not again.isEmpty():
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
-    alone = found.filter("component_id IS NULL").groupBy("root").agg(F.min("tag").alias("_tag"))
-    if not alone.isEmpty():
-        nameless = docs.filter("doc_id IS NULL").withColumn("_tag", F.hash("text"))
-        kept = kept.unionByName(nameless.join(alone, "_tag", "left_semi").dropDuplicates(["_tag"]).select(*docs.columns))
-    return kept
+    key = ["did", "one", "two"]
+    place = F.when(F.col("did") == NO_ID, F.lit(2**63 - 1)).otherwise(F.col("did"))
+    found = near_duplicates(docs, shingle, distance).groupBy("root").agg(F.min(F.struct(place.alias("at"), *key)).alias("first"))
+    kept = stash(found.select(*(F.col(f"first.{c}").alias(c) for c in key)), "kept")
+    return unwrapped(wrapped(docs).join(kept, key, "left_semi").dropDuplicates(key))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import fresh_path, stash
+from tidewright.llm.common import fresh_path, qualified, stash, text_key
 
 BLOCK = 1 << 16
 SHARD = 256 << 20
@@ -252,8 +252,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     low_tag (first entry), docs, ids. order: a column of whole numbers without nulls that gives the order instead of
     doc_id; low is then its value.
     """
+    folder = qualified(docs.sparkSession, folder)
     low_of = F.col(order or "doc_id").cast("long").alias("low")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), F.col("text").cast("string").alias("text"), low_of)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text"))[0].alias("tag"), F.col("text").cast("string").alias("text"), low_of)
     rows = rows.repartitionByRange(F.col("low").asc_nulls_first(), F.col("tag")).sortWithinPartitions(F.col("low").asc_nulls_first(), "tag")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,10 +278,10 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             out.close()
             done.append((out.path, *low, out.docs, out.ids))
         columns = list(zip(*done, strict=True)) or [()] * 5
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["path", "low", "low_tag", "docs", "ids"])
 
-    return stash(rows.mapInArrow(write, "path string, low long, low_tag int, docs long, ids long"), "manifest")
+    return stash(rows.mapInArrow(write, "path string, low long, low_tag long, docs long, ids long"), "manifest")
 
 
 def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:

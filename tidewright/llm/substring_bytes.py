@@ -16,7 +16,7 @@ from tidewright.llm.superkmer import merged, repeated
 LENGTH = 200
 GRAM = 64
 BATCH = 1 << 19
-#: Bytes of distinct strings above which a bucket is split again.
+#: Bytes of distinct strings above which a minimiser's windows are dealt out one by one.
 LIMIT = 1 << 20
 
 
@@ -53,7 +53,7 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_
     and, with ``with_bytes``, kept (binary). One row for each input row: a null text is empty; texts shorter than
     ``length`` lose nothing; repeated rows repeat each other; null doc_ids stay null.
     """
-    docs_z, spans = repeated(docs, False, length, gram, lambda s, c: adjacent_equal(s, c, length), BATCH, LIMIT)
+    rows = repeated(docs, False, length, gram, lambda s, c: adjacent_equal(s, c, length), BATCH, LIMIT)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -72,8 +72,7 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_bytes, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_bytes)
 
-    joined = docs_z.join(spans, ["did", "tag"], "left").select("doc_id", "z", "spans")
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
+    return rows.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

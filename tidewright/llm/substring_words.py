@@ -44,7 +44,7 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_
     ``with_text``, kept (the remaining words joined by a space). One row for each input row: a null text has no
     words; texts shorter than a window lose nothing; repeated rows repeat each other; null doc_ids stay null.
     """
-    docs_z, spans = repeated(docs, True, window, gram, lambda s, c: sorted_counts(s, c, window), BATCH)
+    rows = repeated(docs, True, window, gram, lambda s, c: sorted_counts(s, c, window), BATCH)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -63,8 +63,7 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(text, pa.string())] * with_text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text)
 
-    joined = docs_z.join(spans, ["did", "tag"], "left").select("doc_id", "z", "spans")
-    return joined.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    return rows.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,21 @@
 
 A *unit* is a byte or a word and a *window* is ``length`` consecutive units of one document. Each window is
 assigned the leftmost smallest hash among its k-grams (its minimiser), so equal windows always meet under the
-same minimiser. Maximal runs of consecutive windows with one minimiser occurrence form a super-k-mer.
-
-1. ``super_kmers``: one scan emits only hashes (minimiser, content hash, place), never texts.
-2. ``hits``: a pre-aggregated count keeps minimisers that occur at least twice; the others cannot repeat.
-3. ``packed``: where all occurrences of a minimiser have one content, every window repeats and no text
-   travels. Otherwise one packed string for each distinct content goes to its minimiser's bucket.
-   A minimiser with very many contents is split in two sides by the context that its windows must share. With a
-   limit (bytes), buckets that are still larger are halved again until they fit.
-4. a bucket function (sorted windows, or a suffix array) judges windows exactly.
-5. ``spans_of``: verdicts return to all places; ``with_spans`` joins them to the documents.
+same minimiser. Maximal runs of consecutive windows with one minimiser occurrence form a super-k-mer, which travels as
+one packed string.
+
+1. ``texts_of``: each row gets a number of its own, written with its compressed text; nothing else identifies it.
+2. ``super_kmers``: one scan emits hashes (minimiser, content, place). A pre-aggregated count keeps minimisers that
+   occur at least twice; the others cannot repeat.
+3. ``packed_strings``: the packed strings of all places left, counted by their bytes, in each batch first.
+4. ``judged``: each minimiser's strings are one bucket, where a bucket function (sorted windows, or a suffix array)
+   judges windows exactly.
+5. ``judged_alone``: a minimiser with very many strings, or bytes of them, is no bucket: its windows are dealt out one by
+   one, those whose hash occurs twice are counted by their bytes.
+6. ``repeated``: verdicts return to all places by (minimiser, content). Where two strings share both hashes, a number
+   that their bytes decide parts them (``told_apart``).
+
+Hashes only ever deal out work; every verdict rests on a comparison of bytes.
 """
 
 from __future__ import annotations
@@ -25,13 +30,16 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import SPACES, buffers, identified, mix, stash
+from tidewright.llm.common import SPACES, buffers, drop, mix, stash
 
 CHUNK = 1 << 20
 POSITION = np.uint64((1 << 21) - 1)
 LONG_WORD = 1 << 16
-#: Contents of one minimiser above which its bucket is split by context.
-WIDE = 2000
+#: Strings of one minimiser above which they are no bucket, and their bytes.
+WIDE = 1000
+LIMIT = 1 << 20
+#: Bytes of strings that are counted in one batch before they are sent on.
+HELD = 16 << 20
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -148,240 +156,265 @@ def _scan(data: np.ndarray, offsets: np.ndarray, words: bool, length: int, k: in
         i = j
 
 
-def super_kmers(docs: DataFrame, words: bool, length: int, k: int) -> DataFrame:
-    """``did, tag, first, n, m, content`` for each super-k-mer of identified documents."""
+def super_kmers(texts: DataFrame, words: bool, length: int, k: int) -> DataFrame:
+    """``tid, first, n, m, content`` for each super-k-mer of texts (tid, z)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            did, tag = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            data, offsets = buffers(batch.column(2))
+        for tid, part in opened(batches):
+            data, offsets = buffers(pa.array(part, pa.large_binary()))
             for doc, first, count, low, content in _scan(data, offsets, words, length, k):
-                yield pa.RecordBatch.from_arrays([pa.array(did[doc]), pa.array(tag[doc]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(low.view(np.int64)), pa.array(content.view(np.int64))], ["did", "tag", "first", "n", "m", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(tid[doc]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(low.view(np.int64)), pa.array(content.view(np.int64))], ["tid", "first", "n", "m", "content"])
+
+    return texts.select("tid", "z").mapInArrow(scan, "tid long, first int, n int, m long, content long")
+
 
-    return docs.select("did", "tag", "text").mapInArrow(scan, "did long, tag int, first int, n int, m long, content long")
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Numbers and texts of (tid, z), a few megabytes at a time."""
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        tid, z = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        begin, size, part = 0, 0, []
+        for i in range(len(z)):
+            part.append(press.decompress(z[i].as_py()))
+            size += len(part[-1])
+            if size > 4 * CHUNK:
+                yield tid[begin : i + 1], part
+                begin, size, part = i + 1, 0, []
+        if part:
+            yield tid[begin:], part
 
 
-def carried(docs: DataFrame) -> DataFrame:
-    """``did, tag, doc_id, z``: the texts compressed for the shuffle."""
+def texts_of(docs: DataFrame) -> DataFrame:
+    """``tid, doc_id, z``: each row with a number of its own and its text compressed (null: empty), as a written table."""
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            z = [press.compress(t.encode()) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(z, pa.binary())], ["did", "tag", "doc_id", "z"])
+            z = [press.compress((t.as_py() or "").encode()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], ["tid", "doc_id", "z"])
 
-    return docs.mapInArrow(squeeze, "did long, tag int, doc_id long, z binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("tid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stash(rows.mapInArrow(squeeze, "tid long, doc_id long, z binary"), "texts")
 
 
-def packed(docs_z: DataFrame, wanted: DataFrame, words: bool, length: int, k: int) -> DataFrame:
-    """The strings of ``wanted`` (did, tag, first, n, m, content, copies, wide): ``bucket, m, content, skip, copies, s``.
+def _asked(texts: DataFrame, places: DataFrame) -> DataFrame:
+    asks = places.groupBy("tid").agg(F.collect_list(F.struct("first", "n", "m", "content")).alias("asks"))
+    return texts.select("tid", "z").join(asks, "tid")
 
-    A wide minimiser's string is dealt out twice: its first windows by the context right of the minimiser and the
-    rest by the left context, each a part that all windows of that half contain. ``skip``: windows before the part.
-    """
-    asked = wanted.groupBy("did", "tag").agg(F.collect_list(F.struct("first", "n", "m", "content", "copies", "wide")).alias("asks"))
-    half = (length - k) // 2
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out: list[tuple] = []
-            size = 0
-            for z, asks in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                text = open_.decompress(z.as_py())
-                units = text.split() if words else text
-                for a in asks:
-                    part = units[a["first"] : a["first"] + a["n"] - 1 + length]
-                    join = b" ".join if words else bytes
-                    pieces = [(a["m"], 0, part)]
-                    if a["wide"]:
-                        pieces = []
-                        where = _minimiser_at(part, a["m"], words, k)
-                        # window o starts at o; the minimiser's offset in it is where - o
-                        cutoff = max(0, min(a["n"], where - half))  # windows from cutoff on hold half units right of it
-                        if cutoff < a["n"]:
-                            right = join(part[where : where + k + (length - k - half)])
-                            pieces.append((xxhash.xxh64_intdigest(right, 11) - 2**63, cutoff, part[cutoff:]))
-                        if cutoff:
-                            left = join(part[where - half - 1 : where + k])
-                            pieces.append((xxhash.xxh64_intdigest(left, 12) - 2**63, 0, part[: cutoff - 1 + length]))
-                    for bucket, skip, piece in pieces:
-                        s = join(piece)
-                        size += len(s)
-                        out.append((bucket, a["m"], a["content"], skip, a["copies"], s))
-                if size > 8 << 20:
-                    yield _rows(out)
-                    out, size = [], 0
-            yield _rows(out)
-
-    return docs_z.join(asked, ["did", "tag"]).select("z", "asks").mapInArrow(cut, "bucket long, m long, content long, skip int, copies long, s binary")
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    columns = list(zip(*out, strict=True)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "m", "content", "skip", "copies", "s"])
-
-
-def _minimiser_at(part: bytes | list[bytes], m: int, words: bool, k: int) -> int:
-    if words:
-        data = np.frombuffer(b" ".join(part), np.uint8)
-        codes = word_codes(data, *words_of(data, np.array([0, len(data)])))
-    else:
-        codes = _BYTE[np.frombuffer(part, np.uint8)]
-    sums, inverse = _prefix(codes, _BASES[0])
-    grams = mix((sums[k:] - sums[:-k]) * inverse[: len(codes) - k + 1])
-    return int(np.flatnonzero(grams.view(np.int64) == m)[0])
+def _cuts(batch: pa.RecordBatch, words: bool, length: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(tid, first, m, content, string) of each place that a batch (tid, z, asks) asks for."""
+    press = zstandard.ZstdDecompressor()
+    asks = batch.column(2)
+    bounds, flat = asks.offsets.to_pylist(), asks.flatten()
+    first, n, m, content = (flat.field(c).to_pylist() for c in ("first", "n", "m", "content"))
+    base = bounds[0]
+    for tid, z, low, high in zip(batch.column(0).to_pylist(), batch.column(1), bounds[:-1], bounds[1:], strict=True):
+        text = press.decompress(z.as_py())
+        units = text.split() if words else text
+        for i in range(low - base, high - base):
+            part = units[first[i] : first[i] + n[i] - 1 + length]
+            yield tid, first[i], m[i], content[i], b" ".join(part) if words else part
 
 
-def halves(s: bytes, m: int, low: int, high: int, length: int, k: int) -> list[tuple[int, int, bytes, int, int]]:
-    """``bucket, skip, s, low, high``: the windows of a string whose minimiser is at ``low`` to ``high`` in them, in two halves.
+def packed_strings(texts: DataFrame, hits: DataFrame, words: bool, length: int) -> DataFrame:
+    """``m, content, s, copies``: the distinct packed strings of all places (tid, first, n, m, content) and how often each occurs.
 
-    All windows of a half contain the bytes that its window of the largest and that of the smallest offset have in
-    common, whose hash is the bucket; so equal windows meet again, and a range of one offset holds one window.
+    Strings are counted in each batch before they are shuffled, so a passage that all documents share travels once a batch.
     """
-    where, n, mid = _minimiser_at(s, m, False, k), len(s) - length + 1, (low + high) // 2
-    cutoff, out = min(n, max(0, where - mid)), []
-    for a, b, first, last in ((low, mid, cutoff, n), (mid + 1, high, 0, cutoff)):
-        if first < last:
-            shared = s[where - a : where - b + length]
-            out.append((xxhash.xxh64_intdigest(shared, 16 + a * length + b) - 2**63, first, s[first : last - 1 + length], a, b))
-    return out
-
-
-def judged_in_bounds(strings: DataFrame, judge: Callable[[list[bytes], list[int]], list[np.ndarray]], batch_bytes: int, limit: int, length: int, k: int) -> DataFrame:
-    """``judged`` for bytes, where no bucket with over ``limit`` bytes of distinct strings is held or judged at once.
-
-    Such a bucket's strings pass through in halves (``halves``), which are dealt out again until all buckets fit: at
-    most as many rounds as halvings of the minimiser's offsets. Equal strings of a bucket are held once.
-    """
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32()]
-    names = ["m", "content", "a", "b", "bucket", "skip", "copies", "s", "low", "high"]
-
-    def table(out: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [()] * 10
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        seen: dict[bytes, int] = {}
-        out: list[tuple] = []
-        size = own = begin = passed = 0
-        last, over = None, False
-
-        def verdict(row: dict, a: int, b: int) -> tuple:
-            return (row["m"], row["content"], a + row["skip"], b + row["skip"], *[None] * 6)
-
-        def parted(row: dict) -> list[tuple]:
-            return [(row["m"], row["content"], None, None, bucket, row["skip"] + skip, row["copies"], s, a, b) for bucket, skip, s, a, b in halves(row["s"], row["m"], row["low"], row["high"], length, k)]
 
-        def flush() -> list[tuple]:
-            found = []
-            for row, again in zip(held, judge([r["s"] for r in held], [r["copies"] for r in held]), strict=True):
-                edge = np.diff(np.concatenate([[0], again.astype(np.int8), [0]]))
-                found += [verdict(row, int(a), int(b) - 1) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-            return found
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[int]] = {}
+        size = 0
+        for batch in batches:
+            for _, _, m, content, s in _cuts(batch, words, length):
+                if s in held:
+                    held[s][2] += 1
+                    continue
+                held[s] = [m, content, 1]
+                size += len(s)
+                if size > HELD:
+                    yield _table(held)
+                    held, size = {}, 0
+        yield _table(held)
+
+    cuts = _asked(texts, hits).mapInArrow(cut, "m long, content long, s binary, copies long")
+    return stash(cuts.groupBy("m", "content", "s").agg(F.sum("copies").alias("copies")), "strings")
+
+
+def _table(held: dict[bytes, list[int]]) -> pa.RecordBatch:
+    m, content, copies = zip(*held.values(), strict=True) if held else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(content, pa.int64()), pa.array(list(held), pa.binary()), pa.array(copies, pa.int64())], ["m", "content", "s", "copies"])
+
+
+def told_apart(texts: DataFrame, hits: DataFrame, strings: DataFrame, words: bool, length: int) -> tuple[DataFrame, DataFrame]:
+    """hits and strings with ``v``, a number that parts strings of equal (m, content); where hashes tell all strings apart it is 0."""
+    twins = stash(strings.groupBy("m", "content").agg(F.count("*").alias("k")).filter("k > 1").select("m", "content"), "twins")
+    if twins.isEmpty():
+        drop(twins)
+        return hits.withColumn("v", F.lit(0)), strings.withColumn("v", F.lit(0))
+    number = F.row_number().over(Window.partitionBy("m", "content").orderBy("s"))
+    numbered = stash(strings.join(twins, ["m", "content"], "left_semi").withColumn("v", number), "numbered")
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != last:
-                    if size > batch_bytes:
-                        out += flush()
-                        held, size = [], 0
-                    seen, own, begin, over, last = {}, 0, len(held), False, row["bucket"]
-                if over:
-                    out += parted(row)
-                    passed += 2 * len(row["s"])
-                elif row["s"] in seen:
-                    held[seen[row["s"]]]["copies"] += row["copies"]
-                    out.append(verdict(row, 0, len(row["s"]) - length))
-                else:
-                    seen[row["s"]] = len(held)
-                    held.append(row)
-                    size, own = size + len(row["s"]), own + len(row["s"])
-                    if own > limit and row["low"] < row["high"]:
-                        over = True
-                        for r in held[begin:]:
-                            out += parted(r)
-                        passed += 2 * own
-                        held, size, seen = held[:begin], size - own, {}
-                if passed > 8 << 20 or len(out) > 1 << 17:
-                    yield table(out)
-                    out, passed = [], 0
-        if held:
-            out += flush()
-        yield table(out)
-
-    rest, found = strings.withColumns({"low": F.lit(0), "high": F.lit(length - k)}), None
-    while True:
-        done = rest.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "m long, content long, a int, b int, bucket long, skip int, copies long, s binary, low int, high int")
-        done = stash(done, "judged")
-        verdicts = done.filter("s IS NULL").select("m", "content", "a", "b")
-        found = verdicts if found is None else found.unionByName(verdicts)
-        rest = done.filter("s IS NOT NULL").select("bucket", "m", "content", "skip", "copies", "s", "low", "high")
-        if rest.isEmpty():
-            return found
+            for i in range(0, batch.num_rows, 64):
+                columns = list(zip(*_cuts(batch.slice(i, 64), words, length), strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["tid", "first", "m", "content", "s"])
+
+    places = _asked(texts, hits.join(twins, ["m", "content"], "left_semi")).mapInArrow(cut, "tid long, first int, m long, content long, s binary")
+    places = stash(places.join(numbered, ["m", "content", "s"]).select("tid", "first", "v"), "places")
+    zero = F.coalesce("v", F.lit(0)).alias("v")
+    return (
+        hits.join(places, ["tid", "first"], "left").select("tid", "first", "n", "m", "content", zero),
+        strings.join(numbered.select("m", "content", "s", "v"), ["m", "content", "s"], "left").select("m", "content", "s", "copies", zero),
+    )
 
 
 def judged(strings: DataFrame, judge: Callable[[list[bytes], list[int]], list[np.ndarray]], batch_bytes: int) -> DataFrame:
-    """``m, content, a, b``: runs of repeated windows (first and last, counted in the super-k-mer).
+    """``m, content, v, a, b``: runs of repeated windows (first and last, counted in the super-k-mer) of strings (m, content, v, copies, s).
 
     Buckets are whole in one partition and sorted, so a task holds few of them at a time.
     """
+    names = ["m", "content", "v", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        size, last = 0, None
+        m, content, v, copies, s = ([] for _ in range(5))
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            found: list[tuple[int, int, int, int]] = []
-            for row, again in zip(held, judge([r["s"] for r in held], [r["copies"] for r in held]), strict=True):
+            at, low, high = [], [], []
+            for i, again in enumerate(judge(s, copies)):
                 edge = np.diff(np.concatenate([[0], again.astype(np.int8), [0]]))
-                found += [(row["m"], row["content"], int(a) + row["skip"], int(b) - 1 + row["skip"]) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-            columns = list(zip(*found, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["m", "content", "a", "b"])
+                begins = np.flatnonzero(edge == 1)
+                at += [i] * len(begins)
+                low += begins.tolist()
+                high += (np.flatnonzero(edge == -1) - 1).tolist()
+            columns = [pa.array([x[i] for i in at], t) for x, t in ((m, pa.int64()), (content, pa.int64()), (v, pa.int32()))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(low, pa.int32()), pa.array(high, pa.int32())], names)
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if size > batch_bytes and row["bucket"] != last:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size > batch_bytes and row[0] != m[-1]:
                     yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row["s"])
-                last = row["bucket"]
-        if held:
+                    m, content, v, copies, s = ([] for _ in range(5))
+                    size = 0
+                for x, y in zip((m, content, v, copies, s), row, strict=True):
+                    x.append(y)
+                size += len(row[4])
+        if s:
             yield flush()
 
-    return strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "m long, content long, a int, b int")
+    rows = strings.select("m", "content", "v", "copies", "s")
+    return rows.repartition("m").sortWithinPartitions("m").mapInArrow(run, "m long, content long, v int, a int, b int")
+
+
+def window_hashes(strings: list[bytes], words: bool, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, place, hash) of every window of the strings."""
+    data, offsets = buffers(pa.array(strings, pa.large_binary()))
+    if words:
+        starts, ends = words_of(data, offsets)
+        codes, bounds = word_codes(data, starts, ends), np.searchsorted(starts, offsets)
+    else:
+        codes, bounds = _BYTE[data], offsets
+    counts = np.maximum(np.diff(bounds) - length + 1, 0)
+    owner = np.repeat(np.arange(len(strings)), counts)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = bounds[owner] + place
+    sums, inverse = _prefix(codes, _BASES[1])
+    return owner, place, mix((sums[at + length] - sums[at]) * inverse[at] + np.uint64(length))
+
+
+def judged_alone(strings: DataFrame, words: bool, length: int) -> DataFrame:
+    """``judged`` window by window: a window is dealt out by its own hash, and counted by its bytes where the hash occurs twice."""
+    strings = stash(strings, "wide")
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                owner, place, w = window_hashes(part.column(4).to_pylist(), words, length)
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(owner)) for c in range(4)), pa.array(place.astype(np.int32)), pa.array(w.view(np.int64))], ["m", "content", "v", "copies", "a", "w"])
+
+    every = strings.select("m", "content", "v", "copies", "s").mapInArrow(hashes, "m long, content long, v int, copies long, a int, w long")
+    every = stash(every, "windows")
+    twice = stash(every.groupBy("w").agg(F.sum("copies").alias("times")).filter("times > 1").select("w"), "twice")
+    maybe = stash(every.join(twice, "w").select("m", "content", "v", "a", "w"), "maybe")
+    drop(every, twice)
+
+    def asked(places: DataFrame) -> DataFrame:
+        asks = places.groupBy("m", "content", "v").agg(F.collect_list(F.struct("a", "w")).alias("asks"))
+        return strings.join(asks, ["m", "content", "v"]).select("m", "content", "v", "copies", "s", "asks")
+
+    def windows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for m, content, v, copies, s, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            units = s.split(b" ") if words else s
+            for ask in asks:
+                part = units[ask["a"] : ask["a"] + length]
+                yield m, content, v, ask["a"], copies, ask["w"], b" ".join(part) if words else part
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[int]] = {}
+
+        def table() -> pa.RecordBatch:
+            w, copies = zip(*held.values(), strict=True) if held else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(list(held), pa.binary()), pa.array(copies, pa.int64())], ["w", "s", "copies"])
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                for *_, copies, w, s in windows(batch.slice(i, 64)):
+                    held.setdefault(s, [w, 0])[1] += copies
+                if len(held) * length > HELD:
+                    yield table()
+                    held.clear()
+        yield table()
+
+    same = asked(maybe).mapInArrow(counted, "w long, s binary, copies long").groupBy("w", "s").agg(F.sum("copies").alias("copies"))
+    same = stash(same, "same")
+    shared = stash(same.groupBy("w").agg(F.count("*").alias("k"), F.max("copies").alias("most")), "shared")
+    verdicts = maybe.join(shared.filter("k = 1 AND most > 1").select("w"), "w").select("m", "content", "v", "a", F.col("a").alias("b"))
+    twins = shared.filter("k > 1 AND most > 1").select("w")
+    if twins.isEmpty():
+        return verdicts
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                columns = list(zip(*((m, c, v, a, w, s) for m, c, v, a, _, w, s in windows(batch.slice(i, 64))), strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["m", "content", "v", "a", "w", "s"])
+
+    apart = asked(maybe.join(twins, "w", "left_semi")).mapInArrow(cut, "m long, content long, v int, a int, w long, s binary")
+    apart = apart.join(same.filter("copies > 1"), ["w", "s"]).select("m", "content", "v", "a", F.col("a").alias("b"))
+    return verdicts.unionByName(apart)
 
 
-def repeated(docs: DataFrame, words: bool, length: int, k: int, judge: Callable, batch_bytes: int, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Documents with compressed texts, and ``did, tag, spans`` (unit ranges, end exclusive) of repeated windows.
+def repeated(docs: DataFrame, words: bool, length: int, k: int, judge: Callable, batch_bytes: int, limit: int = LIMIT) -> DataFrame:
+    """``doc_id, z, spans``: each row of docs with its compressed text and the unit ranges (end exclusive) of repeated windows.
 
-    limit: bytes of distinct strings above which a bucket is split again (bytes only).
+    limit: bytes of a minimiser's distinct strings above which its windows are dealt out one by one.
     """
-    rows = identified(docs)
-    kmers = super_kmers(rows, words, length, k)
+    texts = texts_of(docs)
+    kmers = stash(super_kmers(texts, words, length, k), "kmers")
     # a table of its own, so that both sides of the join are plain exchanges and a hot minimiser's rows can be split
     often = stash(kmers.groupBy("m").agg(F.count("*").alias("times")).filter("times > 1").select("m"), "often")
-    hits = stash(kmers.join(often, "m"), "hits")
-    contents = hits.groupBy("m", "content").agg(F.count("*").alias("copies"), F.min(F.struct("did", "tag", "first", "n")).alias("at"))
-    contents = stash(contents, "contents")
-    variants = stash(contents.groupBy("m").agg(F.count("*").alias("variants")), "variants")
-    contents = contents.join(variants, "m")
-    same = contents.filter("variants = 1").select("m", "content", F.lit(0).alias("a"), (F.col("at.n") - 1).alias("b"))
-    wanted = contents.filter("variants > 1").select("at.*", "m", "content", "copies", (F.col("variants") > WIDE).alias("wide"))
-    docs_z = carried(rows)
-    strings = packed(docs_z, wanted, words, length, k)
-    found = judged(strings, judge, batch_bytes) if limit is None else judged_in_bounds(strings, judge, batch_bytes, limit, length, k)
-    verdicts = stash(same.unionByName(found).dropDuplicates(), "verdicts")
+    hits = stash(kmers.join(often, "m").select("tid", "first", "n", "m", "content"), "hits")
+    drop(kmers, often)
+    places, strings = told_apart(texts, hits, packed_strings(texts, hits, words, length), words, length)
+    sizes = strings.groupBy("m").agg(F.count("*").alias("strings"), F.sum(F.octet_length("s")).alias("bytes"))
+    wide = stash(sizes.filter((F.col("strings") > WIDE) | (F.col("bytes") > limit)).select("m"), "wide")
+    found = judged(strings.join(wide, "m", "left_anti"), judge, batch_bytes)
+    if not wide.isEmpty():
+        found = found.unionByName(judged_alone(strings.join(wide, "m", "left_semi"), words, length))
+    verdicts = stash(found, "verdicts")
     spans = (
-        hits.join(verdicts, ["m", "content"])
-        .select("did", "tag", (F.col("first") + F.col("a")).alias("low"), (F.col("first") + F.col("b") + length).alias("high"))
-        .groupBy("did", "tag")
+        places.join(verdicts, ["m", "content", "v"])
+        .select("tid", (F.col("first") + F.col("a")).alias("low"), (F.col("first") + F.col("b") + length).alias("high"))
+        .groupBy("tid")
         .agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     )
-    return docs_z, spans
+    return texts.join(spans, "tid", "left").select("doc_id", "z", "spans")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
