@@ -2,10 +2,34 @@
 
 from __future__ import annotations
 
+import ast
+import builtins
+import datetime
+import decimal
+import email.message
+import errno
+import http.client
+import inspect
+import json
+import locale
+import logging
+import os
+import random
 import re
+import signal
+import socket
+import ssl
+import string
+import subprocess
+import sys
+import threading
+import typing
+import unittest
+import urllib.request
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
+from xml.dom import minidom
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +49,13 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.
 START = len(ALPHABET)
 #: Between the parts of a candidate; the least length of what is judged.
 SEPARATORS, LEAST = "+/_=-", 20
-#: Log-likelihood ratio from which a string is a secret; pseudo-count of each character; weight of a character's
-#: own frequency, in transitions, in each row of the transition matrices.
+#: Log-likelihood ratio from which a string is a secret; weights, in transitions, of a character's own frequency in each
+#: row of the transition matrices, and in that of the frequency over both kinds of samples.
 THRESHOLD = 20.0
-SMOOTHING = 0.5
 BACKOFF = 5.0
+POOLED = 20.0
+#: Labelled samples of each kind that are drawn besides the corpus's own.
+DRAWN = 2000
 _CODE = np.full(128, -1)
 _CODE[[ord(c) for c in ALPHABET]] = range(len(ALPHABET))
 
@@ -98,11 +124,71 @@ def labelled(texts: Iterator[str]) -> Iterator[tuple[int, str]]:
 WORD = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 
 
+def known_names() -> list[str]:
+    """Identifiers of programs: those of Python's standard library, in snake, camel and upper case."""
+    modules = (ast, builtins, datetime, decimal, email.message, errno, http.client, inspect, json, locale, logging, minidom, os, signal, socket, ssl, string, subprocess, threading, typing, unittest, urllib.request)
+    found = {name for module in modules for name in dir(module)} | {name for module in modules for own in vars(module).values() if isinstance(own, type) for name in dir(own)} | set(sys.stdlib_module_names)
+    names = sorted(name.strip("_") for name in found if name.isascii() and len(name) > 2)
+    return sorted(set(names) | {"".join(part.capitalize() for part in name.split("_")) for name in names} | {name.upper() for name in names})
+
+
+def drawn(n: int = DRAWN, seed: int = 11) -> list[tuple[int, str]]:
+    """Labelled samples that a corpus may lack: random strings of common key alphabets (1); names of programs and paths of them,
+    dates, numbers, versions, ranges and rules (0), which are no secrets though no prose either. The same for every corpus."""
+    rng, out = random.Random(seed), []
+    alphabets = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_uppercase + "234567", string.ascii_uppercase + string.digits, "0123456789abcdef"]
+    for i in range(n):
+        out.append((1, "".join(rng.choices(alphabets[i % len(alphabets)], k=rng.randrange(20, 65)))))
+    digits = lambda k: "".join(rng.choices(string.digits, k=k))
+    date = lambda: f"{rng.randrange(1900, 2100)}{(sign := rng.choice('-/_.'))}{rng.randrange(1, 13):02d}{sign}{rng.randrange(1, 32):02d}"
+    kinds = [
+        lambda: rng.choice("-=_+/.") * rng.randrange(8, 80),
+        lambda: "".join(rng.choices(["-", "=", "+", "--", "==", "-+", "=-", "/-"], k=rng.randrange(8, 40))),
+        lambda: rng.choice(["/", "_", "-", "="]).join(date() for _ in range(rng.randrange(1, 4))),
+        lambda: f"{date()}_{digits(rng.choice([2, 4, 6]))}",
+        lambda: digits(rng.randrange(8, 40)),
+        lambda: (string.ascii_uppercase * 2)[(at := rng.randrange(26)) : at + rng.randrange(8, 27)] + string.digits[: rng.choice([0, 10])],
+        lambda: (string.ascii_lowercase * 2)[(at := rng.randrange(26)) : at + rng.randrange(8, 27)] + string.digits[: rng.choice([0, 10])],
+        lambda: rng.choice("-./_").join(digits(rng.randrange(1, 5)) for _ in range(rng.randrange(3, 9))),
+        lambda: "".join(rng.choices(string.ascii_letters + string.digits, k=1)) * rng.randrange(8, 50),
+    ]
+    out += [(0, kinds[i % len(kinds)]()) for i in range(n)]
+    names = known_names()
+    out += [(0, rng.choice("/_-+=").join(rng.choices(names, k=rng.randrange(1, 6)))) for _ in range(4 * n)]
+    out += [(0, "".join(rng.choices(names, k=2))) for _ in range(n)]
+    return out + [(0, word) for word in names]
+
+
+def counted(words: tuple[list[str], list[str]]) -> np.ndarray:
+    """Transitions (previous, next) of ordinary and of random strings, flat, by kind."""
+    size = len(ALPHABET) + 1
+    total = np.zeros((2, size * size), np.int64)
+    for label in (0, 1):
+        joined = np.frombuffer("\n".join(["", *words[label]]).encode("ascii"), np.uint8)
+        codes = np.where(joined == 10, START, _CODE[joined])
+        before, after = codes[:-1], codes[1:]
+        keep = after != START
+        total[label] += np.bincount(before[keep] * size + after[keep], minlength=size * size)
+    return total
+
+
+def log_ratios(counts: np.ndarray) -> np.ndarray:
+    """The table of log-ratios from transition counts (kind, previous, next).
+
+    A row backs off to its model's character frequencies, and those to the frequencies that both models share, so a
+    character that neither has seen speaks for neither.
+    """
+    single = counts.sum(axis=1, keepdims=True)
+    pooled = single.sum(axis=0, keepdims=True) + 1.0
+    single = (single + POOLED * pooled / pooled.sum()) / (single.sum(axis=2, keepdims=True) + POOLED)
+    model = np.log((counts + BACKOFF * single) / (counts.sum(axis=2, keepdims=True) + BACKOFF))
+    return model[1] - model[0]
+
+
 def train(docs: DataFrame) -> np.ndarray:
-    """The table of log-ratios, from transition counts over all texts (two matrices of fixed size reach the driver).
+    """The table of log-ratios, from transition counts over all texts (two matrices of fixed size reach the driver) and ``drawn`` samples.
 
-    Transitions are smoothed by the characters' own frequencies; without samples of both kinds the table is zero
-    and nothing is added.
+    docs: text; null texts are empty, and an empty table leaves the drawn samples alone.
     """
     size = len(ALPHABET) + 1
 
@@ -112,25 +198,15 @@ def train(docs: DataFrame) -> np.ndarray:
             words: tuple[list[str], list[str]] = ([], [])
             for label, word in labelled(t.as_py() or "" for t in batch.column(0)):
                 words[label].append(word)
-            for label in (0, 1):
-                joined = np.frombuffer("\n".join(["", *words[label]]).encode("ascii"), np.uint8)
-                codes = np.where(joined == 10, START, _CODE[joined])
-                before, after = codes[:-1], codes[1:]
-                keep = after != START
-                total[label] += np.bincount(before[keep] * size + after[keep], minlength=size * size)
+            total += counted(words)
         label, cell = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(total[label, cell])], ["label", "cell", "n"])
 
-    counts = np.zeros((2, size * size))
+    samples = drawn()
+    counts = counted(([w for label, w in samples if not label], [w for label, w in samples if label])).astype(float)
     for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "label int, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n")).collect():
-        counts[r.label, r.cell] = r.n
-    counts = counts.reshape(2, size, size)[:, :, :START]
-    if not counts[1].sum() or not counts[0].sum():
-        return np.zeros((size, START))
-    single = counts.sum(axis=1, keepdims=True) + SMOOTHING
-    single /= single.sum(axis=2, keepdims=True)
-    model = np.log((counts + BACKOFF * single) / (counts.sum(axis=2, keepdims=True) + BACKOFF))
-    return model[1] - model[0]
+        counts[r.label, r.cell] += r.n
+    return log_ratios(counts.reshape(2, size, size)[:, :, :START])
 
 
 def spans_of(text: str, table: np.ndarray, threshold: float) -> list[tuple[int, int, str]]:
