@@ -16,7 +16,7 @@ from tidewright.llm.superkmer import merged, repeated
 LENGTH = 200
 GRAM = 64
 BATCH = 1 << 19
-#: Bytes of distinct strings above which a minimiser's windows are dealt out one by one.
+#: Bytes of distinct strings above which a minimiser's strings are cut into pieces.
 LIMIT = 1 << 20
 
 

@@ -11,8 +11,10 @@ one packed string.
 3. ``packed_strings``: the packed strings of all places left, counted by their bytes, in each batch first.
 4. ``judged``: each minimiser's strings are one bucket, where a bucket function (sorted windows, or a suffix array)
    judges windows exactly.
-5. ``judged_alone``: a minimiser with very many strings, or bytes of them, is no bucket: its windows are dealt out one by
-   one, those whose hash occurs twice are counted by their bytes.
+5. ``judged_in_pieces``: a minimiser with very many strings, or bytes of them, is no bucket. Its strings are cut by the
+   minimiser's place in the window into a few pieces, dealt out by the bytes that all windows of a piece share; equal
+   pieces are one. What is still too large goes window by window (``judged_alone``): windows whose hash occurs twice are
+   counted by their bytes.
 6. ``repeated``: verdicts return to all places by (minimiser, content). Where two strings share both hashes, a number
    that their bytes decide parts them (``told_apart``).
 
@@ -38,6 +40,8 @@ LONG_WORD = 1 << 16
 #: Strings of one minimiser above which they are no bucket, and their bytes.
 WIDE = 1000
 LIMIT = 1 << 20
+#: Pieces that a string of such a minimiser is cut into.
+PIECES = 8
 #: Bytes of strings that are counted in one batch before they are sent on.
 HELD = 16 << 20
 _rng = np.random.default_rng(20240229)
@@ -310,6 +314,68 @@ def judged(strings: DataFrame, judge: Callable[[list[bytes], list[int]], list[np
     return rows.repartition("m").sortWithinPartitions("m").mapInArrow(run, "m long, content long, v int, a int, b int")
 
 
+def _minimiser_at(part: bytes | list[bytes], m: int, words: bool, k: int) -> int:
+    """Place of the minimiser in its super-k-mer: the first gram of that hash, as any before would be the minimiser of the first window."""
+    if words:
+        data = np.frombuffer(b" ".join(part), np.uint8)
+        codes = word_codes(data, *words_of(data, np.array([0, len(data)])))
+    else:
+        codes = _BYTE[np.frombuffer(part, np.uint8)]
+    sums, inverse = _prefix(codes, _BASES[0])
+    grams = mix((sums[k:] - sums[:-k]) * inverse[: len(codes) - k + 1])
+    return int(np.flatnonzero(grams.view(np.int64) == m)[0])
+
+
+def pieces(s: bytes, m: int, words: bool, length: int, k: int) -> Iterator[tuple[int, int, bytes]]:
+    """``bucket, skip, piece``: a string's windows parted by the minimiser's place in them.
+
+    All windows of a piece contain the units that its first and last possible window share; a hash of those is the bucket, so
+    equal windows meet again. ``skip``: windows of the string before the piece.
+    """
+    units, join = (s.split(b" "), b" ".join) if words else (s, bytes)
+    places, n = length - k + 1, len(units) - length + 1
+    at = _minimiser_at(units, m, words, k)
+    for p in range(PIECES):
+        low, high = -(-p * places // PIECES), -(-(p + 1) * places // PIECES) - 1
+        first, last = max(0, at - high), min(n - 1, at - low)
+        if low <= high and first <= last:
+            shared = join(units[at - low : at - high + length])
+            yield xxhash.xxh64_intdigest(shared, 16 + p) - 2**63, first, join(units[first : last + length])
+
+
+def judged_in_pieces(strings: DataFrame, judge: Callable, batch_bytes: int, limit: int, words: bool, length: int, k: int) -> DataFrame:
+    """``judged`` for minimisers whose strings are too many for one bucket."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["m", "content", "v", "copies", "bucket", "skip", "s"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                rows = [(m, content, v, copies, *piece) for m, content, v, copies, s in zip(*(c.to_pylist() for c in batch.slice(i, 1024).columns), strict=True) for piece in pieces(s, m, words, length, k)]
+                columns = list(zip(*rows, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    parts = strings.select("m", "content", "v", "copies", "s").mapInArrow(cut, "m long, content long, v int, copies long, bucket long, skip int, s binary")
+    parts = stash(parts, "pieces")
+    distinct = parts.groupBy("bucket", "s").agg(F.sum("copies").alias("copies"))
+    distinct = stash(distinct.withColumn("piece", F.monotonically_increasing_id()), "distinct")
+    owners = stash(parts.join(distinct.select("bucket", "s", "piece"), ["bucket", "s"]).select("m", "content", "v", "skip", "piece"), "owners")
+    drop(parts)
+    rows = distinct.select(F.col("bucket").alias("m"), F.col("piece").alias("content"), F.lit(0).alias("v"), "s", "copies")
+    wide = stash(too_wide(rows, limit), "crowds")
+    found = judged(rows.join(wide, "m", "left_anti"), judge, batch_bytes)
+    if not wide.isEmpty():
+        found = found.unionByName(judged_alone(rows.join(wide, "m", "left_semi"), words, length))
+    found = stash(found.select(F.col("content").alias("piece"), "a", "b"), "found")
+    return owners.join(found, "piece").select("m", "content", "v", (F.col("a") + F.col("skip")).alias("a"), (F.col("b") + F.col("skip")).alias("b"))
+
+
+def too_wide(strings: DataFrame, limit: int) -> DataFrame:
+    """The minimisers (m) whose strings are more, or have more bytes, than a bucket may hold."""
+    sizes = strings.groupBy("m").agg(F.count("*").alias("strings"), F.sum(F.octet_length("s")).alias("bytes"))
+    return sizes.filter((F.col("strings") > WIDE) | (F.col("bytes") > limit)).select("m")
+
+
 def window_hashes(strings: list[bytes], words: bool, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, place, hash) of every window of the strings."""
     data, offsets = buffers(pa.array(strings, pa.large_binary()))
@@ -393,7 +459,7 @@ def judged_alone(strings: DataFrame, words: bool, length: int) -> DataFrame:
 def repeated(docs: DataFrame, words: bool, length: int, k: int, judge: Callable, batch_bytes: int, limit: int = LIMIT) -> DataFrame:
     """``doc_id, z, spans``: each row of docs with its compressed text and the unit ranges (end exclusive) of repeated windows.
 
-    limit: bytes of a minimiser's distinct strings above which its windows are dealt out one by one.
+    limit: bytes of a minimiser's distinct strings above which they are cut into pieces.
     """
     texts = texts_of(docs)
     kmers = stash(super_kmers(texts, words, length, k), "kmers")
@@ -402,11 +468,10 @@ def repeated(docs: DataFrame, words: bool, length: int, k: int, judge: Callable,
     hits = stash(kmers.join(often, "m").select("tid", "first", "n", "m", "content"), "hits")
     drop(kmers, often)
     places, strings = told_apart(texts, hits, packed_strings(texts, hits, words, length), words, length)
-    sizes = strings.groupBy("m").agg(F.count("*").alias("strings"), F.sum(F.octet_length("s")).alias("bytes"))
-    wide = stash(sizes.filter((F.col("strings") > WIDE) | (F.col("bytes") > limit)).select("m"), "wide")
+    wide = stash(too_wide(strings, limit), "wide")
     found = judged(strings.join(wide, "m", "left_anti"), judge, batch_bytes)
     if not wide.isEmpty():
-        found = found.unionByName(judged_alone(strings.join(wide, "m", "left_semi"), words, length))
+        found = found.unionByName(judged_in_pieces(strings.join(wide, "m", "left_semi"), judge, batch_bytes, limit, words, length, k))
     verdicts = stash(found, "verdicts")
     spans = (
         places.join(verdicts, ["m", "content", "v"])
