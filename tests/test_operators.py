@@ -173,3 +173,142 @@ def test_stream(spark, tmp_path):
     got = {(r.ticker, r.start.date()): (r.open, r.close, r.volume) for r in spark.sql("select * from bars_out").collect()}
     own = [(i, t) for i, t in enumerate(times) if i % 3 == 0 and t.date() == times[0].date()]
     assert got["b", times[0].date()] == (float(own[0][0]), float(own[-1][0]), len(own)) and not math.isnan(got["b", times[0].date()][0])
+
+
+def loop_trade(holdings, value, weights, cost):
+    """The cost rule, step by step on plain lists."""
+    desired = [w * value for w in weights]
+    fee = cost * sum(abs(d - h) for d, h in zip(desired, holdings))
+    cash, steps = value - sum(desired) - fee, 0
+    while steps < 8 and cash < -1e-9 and sum(desired) > 0:
+        scale = max(value - fee, 0.0) / sum(desired)
+        desired = [d * scale for d in desired]
+        fee = cost * sum(abs(d - h) for d, h in zip(desired, holdings))
+        cash, steps = value - sum(desired) - fee, steps + 1
+    return desired, cash
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.floats(0, 1000), min_size=1, max_size=6), st.floats(0, 500), st.floats(0.9, 1.0), st.floats(0, 0.02), st.integers(0, 9))
+def test_costs_follow_the_loop(holdings, cash, total, cost, seed):
+    h = np.array(holdings)
+    if h.sum() + cash <= 1:
+        return
+    w = np.random.default_rng(seed).dirichlet(np.ones(len(h))) * total
+    got, left, _ = engine.trade(h, cash, w, cost)
+    desired, want = loop_trade(holdings, float(h.sum() + cash), w.tolist(), cost)
+    assert got.tolist() == pytest.approx(desired, rel=1e-9, abs=1e-9) and left == pytest.approx(want, abs=1e-6)
+
+
+def config(**more):
+    assets = [{"ticker": f"T{i}", "name": f"name {i}", "category": ["equity", "bonds", "metals", "abroad"][i % 4], "tradable": i != 7} for i in range(8)]
+    strategy = {
+        "momentum": {"lookback_weights": {126: 1.0}, "skip_recent_days": 5},
+        "strategies": {
+            "topn": {"n": 2, "lookback_weights": {63: 1.0}, "absolute_filter": False},
+            "momentum_score": {"n": 3, "weights": {"momentum": 1.0}, "corr_lookback": 40, "vol_lookback": 20},
+            "regime_based": {"risk_on": {"equity": 0.6}, "risk_off": {"bonds": 0.5}},
+            "regime_budget": {"base": "topn", "base_params": {"n": 1}, "mode": "continuous", "budgets": {"risk_on": 0.9}},
+        },
+        "benchmarks": {"sixty_forty": {"T0": 0.6, "T1": 0.4}, "buy_hold": {"T0": 1.0}},
+    }
+    backtest = {"backtest": {"initial_capital": 5000, "benchmark": "T0"}, "costs": {"commission": 0.001}, "rebalance": {"frequencies": ["monthly"]}, **more}
+    return Config(assets, {"risk_on": ["T0", "T4"], "risk_off": ["T1"], "vix": "T7"}, strategy, backtest)
+
+
+def test_configured_suite(data):
+    panel, _, _, vix = data
+    c = config()
+    assert c.strategy_args("topn") == {"n": 2, "weights": {63: 1.0}, "absolute": False, "skip": 5}
+    setup = runner.Setup(panel, c, ["topn", "momentum_score", "regime_based", "regime_budget", "bench_6040", "bench_equal", "bench_bh"], vix)
+    assert setup.warm == 252
+    setup.trials["broken"] = lambda dates: dates.select("nothing")
+    paths, errors = setup.run()
+    got = paths.toPandas()
+    assert [(r.strategy, r.freq) for r in errors.collect()] == [("broken", "monthly")]
+    assert set(got.strategy) == {"topn", "momentum_score", "regime_based", "regime_budget", "bench_6040", "bench_equal", "bench_bh"}
+    start = engine.common_start(panel, 252).first()[0]
+    firsts = got.groupby("strategy").date.min()
+    assert firsts.nunique() == 1 and firsts.iloc[0] >= start and firsts.iloc[0] == bars.period_last(panel.filter(F.col("date") >= str(start)), "monthly").agg(F.min("date")).first()[0]
+    assert got[got.date == firsts.iloc[0]].equity.between(4900, 5000).all()
+    assert {"alpha", "beta", "n_rebalances"} <= set(setup.measured(paths).columns)
+    both, chosen = setup.out_of_sample((0.5, 0.25, 0.25), "calmar")
+    assert both.filter("valid_sharpe IS NOT NULL").count() == 7 and chosen.filter("selected").count() == 1
+    late = setup.run(window=("2017-06-01", "2017-08-31"))[0].agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    assert str(late.a) >= "2017-06-01" and str(late.b) <= "2017-08-31"
+
+
+def test_overlay_in_a_run(data):
+    panel, _, _, vix = data
+    plain = runner.Setup(panel, config(), ["bench_bh"], vix)
+    capped = runner.Setup(panel, config(risk_overlay={"enabled": True, "max_single_weight": 0.1}), ["bench_bh"], vix)
+    spiked = runner.Setup(panel, config(risk_overlay={"enabled": True, "corr_spike": {"enabled": True, "window": 20, "threshold": -2.0, "override_budget": 0.25}}), ["bench_bh"], vix)
+    dates = bars.period_last(panel, "monthly").filter("date > '2016-01-01'")
+    weights = [sorted({round(r.w, 9) for r in s.trials["bench_bh"](dates).collect()}) for s in (plain, capped, spiked)]
+    assert weights == [[1.0], [0.1], [0.25]]
+    cash = [s.run()[0].filter("rebalanced").agg(F.min("cash")).first()[0] for s in (plain, capped)]
+    assert cash[0] < 0.01 and cash[1] > 0.89
+
+
+def test_walk_forward_plan_follows_the_ranges(spark):
+    for n in (9, 10, 25, 60, 253):
+        calendar = spark.range(n).selectExpr("date_add(DATE'2020-01-01', cast(2 * id AS int)) AS date")
+        day = lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(days=2 * i)
+        for folds, embargo in ((5, 1), (3, 0)):
+            want = [(day(train.stop - 1), day(test.start), day(test.stop - 1)) for train, test in metrics.walk_forward(n, folds, 0.5, embargo)]
+            got = metrics.walk_forward_plan(calendar, folds, 0.5, embargo).orderBy("fold").collect()
+            assert [(r.train_end, r.test_start, r.test_end) for r in got] == want
+    sizes = {r.split: r["rows"] for r in metrics.split_summary(metrics.chronological_split(spark.range(8).selectExpr("date_add(DATE'2020-01-01', cast(id AS int)) AS date"))).collect()}
+    assert sizes == {"train": 4, "valid": 1, "test": 3}
+
+
+def test_budget_without_a_score_is_the_middle_one(spark):
+    day = datetime.date(2020, 1, 1)
+    base = spark.createDataFrame([(day, "a", 0.5)], "date date, ticker string, w double")
+    regimes = spark.createDataFrame([(day, None, None)], "date date, regime string, score double")
+    assert [r.w for discrete in (True, False) for r in strategies.budgeted(base, regimes, discrete).collect()] == [0.3, 0.3]
+
+
+def test_sleeve_leaves_one_category_out(data):
+    panel = data[0]
+    assert regime.market_sleeve(panel, ["T0", "T1", "T9"]) == ["T0", "T1"]
+    assert regime.market_sleeve(panel, ["T0", "T3"], "abroad") == ["T0", "T1", "T2", "T4", "T5", "T6"]
+
+
+def test_sweep_and_its_means(data):
+    panel = data[0]
+    blends = {"fast": ({21: 1.0}, 0), "slow": ({126: 0.5, 63: 0.5}, 5)}
+    dates = bars.period_last(panel, "monthly").filter("date > '2016-06-01'")
+    every = {(r.n, r.lookback, r.filt, r.date, r.ticker): r.w for r in runner.sweep_weights(panel, dates, (1, 3), blends).collect()}
+    for n in (1, 3):
+        for name, (w, skip) in blends.items():
+            for filt in (True, False):
+                own = {(n, name, "on" if filt else "off", r.date, r.ticker): r.w for r in strategies.topn(panel, dates, n, w, skip, filt).collect()}
+                assert own == {k: v for k, v in every.items() if k[:3] == (n, name, "on" if filt else "off")}
+    table = runner.sweep(panel, (1, 3), blends).persist()
+    assert table.count() == 8 and table.filter("full_sharpe IS NULL OR valid_sharpe IS NULL OR test_sharpe IS NULL OR dsr IS NULL").count() == 0
+    assert runner.marginal_means(table).count() == 2 + 2 + 2
+
+
+def test_report_and_command_line(data, tmp_path, monkeypatch):
+    import yaml
+
+    from tidewright import cli
+
+    panel, raw, _, vix = data
+    c = config()
+    folder, stored = tmp_path / "config", str(tmp_path / "bars")
+    folder.mkdir()
+    for name, content in (("assets", {"assets": c.assets, "roles": c.roles}), ("strategy", c.strategy), ("backtest", c.backtest)):
+        (folder / f"{name}.yaml").write_text(yaml.safe_dump(content))
+    raw.write.partitionBy("ticker").parquet(stored)
+    run = lambda *a: cli.main(["--config", str(folder), "--bars", stored, *a])
+    assert run("analyze", "all", "--window", "60", "--lookback", "21", "--top", "2") == 0
+    assert run("backtest", "report", "--strategy", "topn,bench_equal", "--out", str(tmp_path / "out")) == 0
+    text = (tmp_path / "out/REPORT.md").read_text()
+    for part in ("## Overview", "1b.", "## 2.", "## 4.", "### Momentum", "### Principal", "## 6."):
+        assert part in text
+    assert "failed:" not in text
+    assert run("backtest", "oos", "--strategy", "bench_bh,bench_equal", "--select", "calmar", "--train", "0.5", "--valid", "0.25", "--test", "0.25") == 0
+    assert run("chart", "regime", "--strategy", "bench_bh", "--rebalance", "monthly", "--out", str(tmp_path / "out")) == 0
+    assert (tmp_path / "out/regime").exists() and (tmp_path / "out/monthly").exists()

@@ -40,22 +40,37 @@ def off_diagonal_mean(matrix: DataFrame) -> DataFrame:
     return matrix.filter("ticker_a != ticker_b").groupBy(F.col("ticker_a").alias("ticker")).agg(F.avg("c").alias("avg_corr"))
 
 
-def rolling_pairs(panel: DataFrame, rows: int) -> DataFrame:
-    """``date, a, b, c``: correlation over the last ``rows`` calendar rows, null before so many have passed."""
+#: Share of a window's squares below which what is left of its variance is rounding.
+FLAT = 1e-12
+
+
+def rolling_pairs(panel: DataFrame, rows: int, dates: DataFrame | None = None) -> DataFrame:
+    """``date, a, b, c``: correlation over the last ``rows`` calendar rows, null before so many have passed; on ``dates`` only if given.
+
+    Running sums of counts, values, squares and products: a window's moments are differences of two of them, so the cost is one
+    pass whatever the window. Returns are small and near zero, which keeps the differences exact to some 14 digits.
+    """
     order = Window.partitionBy("a", "b").orderBy("date")
-    frame = order.rowsBetween(-(rows - 1), 0)
     # a number of its own, as adaptive execution would merge the work of all pairs into one task
     n = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs(panel).repartition(n, "a", "b").select("date", "a", "b", F.when(F.row_number().over(order) >= rows, corr(frame)).alias("c"))
+    terms = {"n": F.when(F.col("x").isNotNull(), 1.0).otherwise(0.0), "x": F.col("x"), "y": F.col("y"), "xx": F.col("x") * F.col("x"), "yy": F.col("y") * F.col("y"), "xy": F.col("x") * F.col("y")}
+    running = pairs(panel).repartition(n, "a", "b").select("date", "a", "b", F.row_number().over(order).alias("row"), F.struct(*(F.sum(F.coalesce(t, F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(k) for k, t in terms.items())).alias("s"))
+    both = running.select("date", "a", "b", "row", "s", F.lag("s", rows).over(order).alias("before"))
+    if dates is not None:
+        both = both.join(dates.select("date").distinct(), "date", "left_semi")
+    m = {k: F.col(f"s.{k}") - F.coalesce(F.col(f"before.{k}"), F.lit(0.0)) for k in terms}
+    spread = lambda k: F.when(m[k + k] - m[k] * m[k] / m["n"] > FLAT * m[k + k], m[k + k] - m[k] * m[k] / m["n"])
+    c = F.when((F.col("row") >= rows) & (m["n"] > 1), (m["xy"] - m["x"] * m["y"] / m["n"]) / F.sqrt(spread("x") * spread("y")))
+    return both.select("date", "a", "b", c.alias("c"))
 
 
 def both_ways(half: DataFrame) -> DataFrame:
     return half.select("date", F.explode(F.array("a", "b")).alias("ticker"), "c")
 
 
-def rolling_avg_correlation(panel: DataFrame, rows: int = 120) -> DataFrame:
-    """By date and ticker the mean correlation to all others."""
-    return both_ways(rolling_pairs(panel, rows)).groupBy("date", "ticker").agg(F.avg("c").alias("value"))
+def rolling_avg_correlation(panel: DataFrame, rows: int = 120, dates: DataFrame | None = None) -> DataFrame:
+    """By date and ticker the mean correlation to all others; on ``dates`` only if given."""
+    return both_ways(rolling_pairs(panel, rows, dates)).groupBy("date", "ticker").agg(F.avg("c").alias("value"))
 
 
 def correlation_change(panel: DataFrame, rows: int = 60) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.signals import availability
@@ -13,17 +13,21 @@ PATH = "strategy string, freq string, date date, equity double, ret double, reba
 
 
 def trade(holdings: np.ndarray, cash: float, weights: np.ndarray, cost: float) -> tuple[np.ndarray, float, float]:
-    """New holdings, cash and turnover for target weights; costs shrink the target until cash is not negative."""
+    """New holdings, cash and turnover for target weights.
+
+    Where cash would not pay the costs, what is bought is brought down to the value less the costs of the trades just
+    planned, up to eight times, as smaller trades cost less.
+    """
     value = holdings.sum() + cash
     desired = weights * value
-    for _ in range(8):
-        trades = np.abs(desired - holdings).sum()
-        left = value - desired.sum() - trades * cost
-        if left >= -1e-9:
-            break
-        desired = weights * (value - trades * cost)
-    trades = np.abs(desired - holdings).sum()
-    return desired, value - desired.sum() - trades * cost, trades / value if value else 0.0
+    for attempt in range(9):
+        traded = np.abs(desired - holdings).sum()
+        fee, invested = cost * traded, desired.sum()
+        left = value - invested - fee
+        if left >= -1e-9 or invested <= 0 or attempt == 8:
+            return desired, left, traded / value if value > 0 else 0.0
+        desired = desired * (max(value - fee, 0.0) / invested)
+    raise AssertionError
 
 
 def fold(returns: np.ndarray, targets: dict[int, np.ndarray], capital: float, cost: float, gated: bool = False, min_rows: int = 5, threshold: float = 0.10) -> pd.DataFrame:
@@ -50,21 +54,21 @@ def fold(returns: np.ndarray, targets: dict[int, np.ndarray], capital: float, co
     return out
 
 
-def simulate(panel: DataFrame, weights: DataFrame, schedule: DataFrame, capital: float = 100_000.0, cost: float = 0.0015, start: str | None = None, end: str | None = None) -> DataFrame:
+def simulate(panel: DataFrame, weights: DataFrame, schedule: DataFrame, capital: float = 100_000.0, cost: float = 0.0015, start: str | None = None, end: str | None = None, min_rows: int = 5, threshold: float = 0.10) -> DataFrame:
     """Daily path of every (strategy, freq) of schedule (strategy, freq, date).
 
     weights: strategy, freq, date, ticker, w; a scheduled date without weights is all cash. Weights of a date's
     close earn from the next date. Returns and the calendar are copied to each trial: a trial is one group of
-    dates by tickers, which the universe and history bound. freq ``signal`` trades only on enough drift.
+    dates by tickers, which the universe and history bound. freq ``signal`` trades only on a drift of ``threshold`` and
+    after ``min_rows`` rows. A trial without a scheduled date in the window, or with fewer than two dates, has no path.
     """
-    spark = panel.sparkSession
     window = panel
     if start:
         window = window.filter(F.col("date") >= F.to_date(F.lit(start)))
     if end:
         window = window.filter(F.col("date") <= F.to_date(F.lit(end)))
     trials = schedule.select("strategy", "freq").distinct()
-    data = window.select("date", "ticker", F.coalesce("ret", F.lit(0.0)).alias("x"), F.lit(0).alias("kind")).crossJoin(F.broadcast(trials))
+    data = window.select("date", "ticker", F.coalesce("ret", F.lit(0.0)).alias("x"), F.lit(0).alias("kind")).crossJoin(trials)
     marks = schedule.select("date", F.lit(None).cast("string").alias("ticker"), F.lit(0.0).alias("x"), F.lit(1).alias("kind"), "strategy", "freq")
     targets = weights.select("date", "ticker", F.col("w").alias("x"), F.lit(2).alias("kind"), "strategy", "freq")
     every = data.unionByName(marks).unionByName(targets)
@@ -78,24 +82,22 @@ def simulate(panel: DataFrame, weights: DataFrame, schedule: DataFrame, capital:
         for d, t, w in x.loc[x["kind"] == 2, ["date", "ticker", "x"]].itertuples(index=False):
             if place.get(d) in asked and t in column:
                 asked[place[d]][column[t]] = w
-        out = fold(wide.to_numpy(), asked, capital, cost, freq == "signal")
+        out = fold(wide.to_numpy(), asked if len(wide) > 1 else {}, capital, cost, freq == "signal", min_rows, threshold)
         dates = wide.index.to_numpy()
         return pd.DataFrame({"strategy": strategy, "freq": freq, "date": dates[out["i"].to_numpy(dtype=int)] if len(out) else [], "equity": out["equity"], "ret": out["ret"], "rebalanced": out["rebalanced"], "turnover": out["turnover"], "cash": out["cash"], "period_return": out["period_return"]})
 
-    return every.groupBy("strategy", "freq").applyInPandas(run, PATH) if spark else every
+    return every.groupBy("strategy", "freq").applyInPandas(run, PATH)
 
 
 def common_start(panel: DataFrame, warm: int = 252, extra: int = 5, least: int | None = None) -> DataFrame:
-    """The first date with enough tradables of full warm-up, ``extra`` rows on and at most the third last."""
+    """The first date with enough tradables of full warm-up, or else the calendar's ``warm``-th; ``extra`` rows on, the second last at most."""
     names = panel.filter("tradable").select("ticker").distinct().count()
     need = max(3, min(8, names // 2)) if least is None else least
-    from pyspark.sql import Window
-
     ready = availability(panel, warm).withColumn("n", F.row_number().over(Window.orderBy("date")) - 1)  # one row a date
     size = ready.count()
     first = ready.filter(F.col("ready") >= need).agg(F.min("n").alias("m"))
-    at = F.least(F.coalesce("m", F.lit(0)) + extra, F.lit(max(0, size - 2)))
-    return ready.crossJoin(F.broadcast(first)).filter(F.col("n") == at).select("date")
+    at = F.least(F.coalesce("m", F.lit(warm)) + extra, F.lit(max(0, size - 2)))
+    return ready.crossJoin(first).filter(F.col("n") == at).select("date")
 
 
 def benchmark_returns(panel: DataFrame, path: DataFrame, ticker: str) -> DataFrame:

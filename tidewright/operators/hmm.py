@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.sources.scratch import stash
+
+STARTS = 4
 FEATURES = ("mkt_ret", "mkt_vol", "avg_corr", "disp", "dd", "vix")
 
 
@@ -72,7 +75,12 @@ def backward(e: np.ndarray, p: Params) -> np.ndarray:
 
 
 def _centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """Seeded k-means labels: spread starting points, then Lloyd's steps."""
+    """Seeded k-means labels, the tightest of ``STARTS`` tries."""
+    return min((_centres_once(x, k, rng) for _ in range(STARTS)), key=lambda found: found[1])[0]
+
+
+def _centres_once(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Labels from spread starting points and Lloyd's steps, and the squares that are left."""
     chosen = [x[rng.integers(len(x))]]
     while len(chosen) < k:
         away = np.min([((x - c) ** 2).sum(axis=1) for c in chosen], axis=0)
@@ -84,10 +92,10 @@ def _centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
         if np.allclose(new, centres):
             break
         centres = new
-    return label
+    return label, float(((x - centres[label]) ** 2).sum())
 
 
-def fit(x: np.ndarray, k: int, steps: int = 40, tolerance: float = 1e-4, seed: int = 42) -> Params:
+def fit(x: np.ndarray, k: int, steps: int = 30, tolerance: float = 1e-4, seed: int = 42) -> Params:
     """Baum-Welch from k-means; a sticky start of the transitions and a small ridge on covariances."""
     d, eye = x.shape[1], np.eye(x.shape[1])
     label = _centres(x, k, np.random.default_rng(seed))
@@ -141,17 +149,28 @@ def classify_hmm(features: DataFrame, first: int = 504, refit: int = 126, most:
     (``most`` at most) and the rows up to the next anchor, so fits run in parallel. The number of states is chosen
     once, on the first anchor's rows. Shorter histories, earlier rows and failed fits are neutral with score 0.
     """
+    features = stash(features, "features")
     full = features.dropna(subset=list(FEATURES))
-    rows = full.withColumn("n", F.row_number().over(Window.orderBy("date")) - 1)  # one row a date
+    rows = full.withColumn("n", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))  # one row a date
     size = full.count()
     neutral = features.select("date", F.lit("neutral").alias("regime"), F.lit(0.0).alias("score"))
     if size < first + refit:
         return neutral
-    head = rows.filter(f"n < {first}").orderBy("n").select(*FEATURES).toPandas().to_numpy()
-    z = (head - head.mean(axis=0)) / (head.std(axis=0) + 1e-9)
-    k = min(counts, key=lambda c: bic(fit(z, c, seed=seed), len(z), z.shape[1]))
-    anchors = full.sparkSession.createDataFrame([(a,) for a in range(first, size, refit)], "anchor long")
-    grouped = rows.join(F.broadcast(anchors), (F.col("n") < F.col("anchor") + refit) & (F.col("n") >= F.col("anchor") - most))
+
+    def choose(block: pd.DataFrame) -> pd.DataFrame:
+        head = block.sort_values("n")[list(FEATURES)].to_numpy()
+        z, found = (head - head.mean(axis=0)) / (head.std(axis=0) + 1e-9), {}
+        for c in counts:
+            try:
+                found[c] = bic(fit(z, c, seed=seed), len(z), z.shape[1])
+            except (np.linalg.LinAlgError, ValueError, FloatingPointError):
+                continue
+        return pd.DataFrame({"k": [min(found, key=found.get) if found else counts[0]]})
+
+    k = rows.filter(f"n < {first} AND n >= {first - most}").withColumn("group", F.lit(1)).groupBy("group").applyInPandas(choose, "k int").first()[0]
+    # every row goes to the anchors that train on it or label it
+    low, high = f"greatest(0, ceil((n - {first} - {refit - 1}) / {refit}))", f"least({(size - 1 - first) // refit}, floor((n + {most} - {first}) / {refit}))"
+    grouped = rows.filter(f"{low} <= {high}").withColumn("anchor", F.explode(F.expr(f"transform(sequence(cast({low} AS bigint), cast({high} AS bigint)), i -> {first} + i * {refit})")))
 
     def label(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("n")
@@ -171,5 +190,5 @@ def classify_hmm(features: DataFrame, first: int = 504, refit: int = 126, most:
         return new
 
     # a number of its own: the fits are few and heavy, and would be merged into one task by their size
-    found = grouped.repartition(max(1, len(range(first, size, refit))), "anchor").groupBy("anchor").applyInPandas(label, "date date, regime string, score double")
+    found = grouped.repartition(len(range(first, size, refit)), "anchor").groupBy("anchor").applyInPandas(label, "date date, regime string, score double")
     return neutral.select("date").join(found, "date", "left").select("date", F.coalesce("regime", F.lit("neutral")).alias("regime"), F.coalesce("score", F.lit(0.0)).alias("score"))

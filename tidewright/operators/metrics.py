@@ -119,7 +119,7 @@ def james_stein(trials: DataFrame, value: str = "sharpe", variance: str = "var")
     """Shrinks each value to the mean of all; unchanged with fewer than three values or no spread."""
     s = trials.agg(F.count(value).alias("k"), F.avg(value).alias("m"), F.avg(variance).alias("s2"), (F.var_pop(value) * F.count(value)).alias("ss"))
     c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.try_divide((F.col("k") - 2) * F.col("s2"), F.col("ss"))))
-    return trials.crossJoin(F.broadcast(s)).withColumn("js", F.when((F.col("k") >= 3) & (F.col("ss") > 0), F.col("m") + c * (F.col(value) - F.col("m"))).otherwise(F.col(value))).drop("k", "m", "s2", "ss")
+    return trials.crossJoin(s).withColumn("js", F.when((F.col("k") >= 3) & (F.col("ss") > 0), F.col("m") + c * (F.col(value) - F.col("m"))).otherwise(F.col(value))).drop("k", "m", "s2", "ss")
 
 
 def expected_max_sql(variance: str, n: str) -> str:
@@ -138,27 +138,41 @@ def corrections(metrics: DataFrame, ppy: int = 252) -> DataFrame:
     """Raw, shrunken and deflated Sharpe of each trial with ranks; fewer than eight returns give no deflated one."""
     rows = metrics.filter("sharpe IS NOT NULL").withColumn("var", F.try_divide(1 + F.col("sharpe") * F.col("sharpe") / 2, F.col("n_periods"))).withColumn("sr", F.col("sharpe") / ppy**0.5)
     s = rows.agg(F.var_pop("sr").alias("v"), F.count("*").cast("double").alias("trials"))
-    rows = james_stein(rows).crossJoin(F.broadcast(s)).withColumn("emax", F.expr(expected_max_sql("v", "trials")))
+    rows = james_stein(rows).crossJoin(s).withColumn("emax", F.expr(expected_max_sql("v", "trials")))
     rows = rows.withColumn("dsr", F.when((F.col("n_periods") >= 8), F.expr(probabilistic_sql("sr", "emax", "n_periods", "skew", "(kurt + 3)"))))
     rank = lambda c: F.rank().over(Window.orderBy(F.col(c).desc_nulls_last()))  # noqa: E731  one row a trial
     return rows.withColumns({"raw_rank": rank("sharpe"), "js_rank": rank("js")}).withColumn("rank_change", F.col("raw_rank") - F.col("js_rank"))
 
 
+def side_by_side(valid: DataFrame, test: DataFrame, columns: tuple[str, ...] = ("cagr", "sharpe", "sortino", "max_drawdown", "calmar")) -> DataFrame:
+    """Every trial's measures in both windows, prefixed."""
+    named = lambda df, prefix: df.select("strategy", "freq", *(F.col(c).alias(f"{prefix}_{c}") for c in columns))
+    return named(valid, "valid").join(named(test, "test"), ["strategy", "freq"], "outer")
+
+
 def off_sample(valid: DataFrame, test: DataFrame, by: str = "sharpe") -> DataFrame:
     """Validation and test metrics side by side, the pick on validation flagged, fragile where test falls 0.3 behind."""
     both = valid.select("strategy", "freq", F.col(by).alias("valid")).join(test.select("strategy", "freq", F.col(by).alias("test")), ["strategy", "freq"], "outer")
     best = valid.filter(F.col(by).isNotNull()).agg(F.max_by(F.struct("strategy", "freq"), by).alias("b"))
     chosen = (F.col("strategy") == F.col("b.strategy")) & (F.col("freq") == F.col("b.freq"))
-    return both.crossJoin(F.broadcast(best)).select("strategy", "freq", "valid", "test", F.coalesce(chosen, F.lit(False)).alias("selected"), (F.col("test") < F.col("valid") - 0.3).alias("fragile"))
+    return both.crossJoin(best).select("strategy", "freq", "valid", "test", F.coalesce(chosen, F.lit(False)).alias("selected"), (F.col("test") < F.col("valid") - 0.3).alias("fragile"))
+
+
+def numbered(calendar: DataFrame) -> DataFrame:
+    """``date, n, size``: distinct dates with their place, from 0, and their number."""
+    rows = calendar.select("date").distinct()
+    return rows.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("n"), F.count("*").over(Window.partitionBy()).alias("size"))  # one row a date
 
 
 def chronological_split(calendar: DataFrame, ratios: tuple[float, float, float] = (0.6, 0.2, 0.2)) -> DataFrame:
-    """``date, n, split``: train, valid and test by floor boundaries, the rest to test."""
-    w = Window.orderBy("date")  # one row a date
-    rows = calendar.select("date").distinct().withColumns({"n": F.row_number().over(w) - 1, "size": F.count("*").over(Window.partitionBy())})
+    """``date, n, split``: train, valid and test, whose sizes are rounded down each; the rest goes to test, which has a date at least."""
     total = sum(ratios)
-    one, two = ratios[0] / total, (ratios[0] + ratios[1]) / total
-    return rows.select("date", "n", F.when(F.col("n") < F.floor(F.col("size") * F.lit(one)), "train").when(F.col("n") < F.floor(F.col("size") * F.lit(two)), "valid").otherwise("test").alias("split"))
+    if total <= 0:
+        raise ValueError("ratios must sum to more than 0")
+    size, n = F.col("size"), F.col("n")
+    train = F.greatest(F.lit(1), F.floor(size * F.lit(ratios[0]) / F.lit(total)))
+    both = F.least(train + F.floor(size * F.lit(ratios[1]) / F.lit(total)), F.greatest(train, size - 1))
+    return numbered(calendar).select("date", "n", F.when(n < train, "train").when(n < both, "valid").otherwise("test").alias("split"))
 
 
 def split_summary(split: DataFrame) -> DataFrame:
@@ -166,15 +180,22 @@ def split_summary(split: DataFrame) -> DataFrame:
 
 
 def walk_forward(n: int, folds: int = 5, first: float = 0.5, embargo: int = 1) -> list[tuple[range, range]]:
-    """Expanding training ranges and the test range after each, ``embargo`` rows apart; none for short histories."""
-    if n < 10:
-        return []
-    begin = int(n * first)
-    size = (n - begin) // folds
+    """Training and test rows of each fold over n rows: tests are equal segments, the last one takes the rest, and
+    training ends ``embargo`` rows before its test; none for short histories."""
+    begin = max(1, int(n * first))
+    size = (n - begin) // folds if n >= 10 and folds > 0 else 0
     if size <= embargo + 1:
         return []
-    out = []
-    for k in range(folds):
-        cut = begin + k * size
-        out.append((range(0, cut), range(cut + embargo, n if k == folds - 1 else cut + size)))
-    return out
+    tests = [range(begin + k * size, n if k == folds - 1 else begin + (k + 1) * size) for k in range(folds)]
+    return [(range(test.start - embargo), test) for test in tests if test.start - embargo > 1]
+
+
+def walk_forward_plan(calendar: DataFrame, folds: int = 5, first: float = 0.5, embargo: int = 1) -> DataFrame:
+    """``fold, train_end, test_start, test_end``: ``walk_forward`` over the calendar's own dates, in one plan."""
+    rows = numbered(calendar)
+    begin = f"greatest(1, cast(floor(size * double({first})) AS bigint))"
+    sized = rows.withColumn("segment", F.expr(f"(size - {begin}) div {folds}")).filter(f"size >= 10 AND segment > {embargo + 1}")
+    k = F.when(F.expr(f"n >= {begin}"), F.least(F.expr(f"(n - {begin}) div segment"), F.lit(folds - 1)))
+    tests = sized.withColumn("fold", k).filter("fold IS NOT NULL").groupBy("fold").agg(F.min("n").alias("from"), F.min("date").alias("test_start"), F.max("date").alias("test_end"))
+    ends = rows.select(F.col("date").alias("train_end"), (F.col("n") + 1 + embargo).alias("from"))
+    return tests.join(ends.filter(F.col("from") > embargo + 1), "from").select("fold", "train_end", "test_start", "test_end")

@@ -60,20 +60,28 @@ def category_rotation(panel: DataFrame, rows: int = 63, until: str | None = None
     if until:
         panel = panel.filter(F.col("date") <= F.to_date(F.lit(until)))
     last = panel.agg(F.max("date").alias("date"))
-    both = relative_strength(panel, rows).withColumnRenamed("value", "rs").join(inflow_outflow(panel, rows).withColumnRenamed("value", "flow"), ["date", "ticker"]).join(F.broadcast(last), "date")
+    both = relative_strength(panel, rows).withColumnRenamed("value", "rs").join(inflow_outflow(panel, rows).withColumnRenamed("value", "flow"), ["date", "ticker"]).join(last, "date")
     tradable = panel.filter("tradable").select("ticker", "category").distinct()
-    found = both.join(F.broadcast(tradable), "ticker").groupBy("category").agg(F.avg("rs").alias("strength"), F.avg("flow").alias("flow"))
+    found = both.join(tradable, "ticker").groupBy("category").agg(F.avg("rs").alias("strength"), F.avg("flow").alias("flow"))
     status = F.when((F.col("strength") > DEAD_BAND) & (F.col("flow") > 0), "inflow").when((F.col("strength") < -DEAD_BAND) & (F.col("flow") < 0), "outflow").otherwise("neutral")
     return found.withColumn("status", status)
 
 
+def market_sleeve(panel: DataFrame, wanted: list[str], without: str = "crypto", least: int = 2, most: int = 6) -> list[str]:
+    """The tickers that stand for the market: those wanted and present, one category left out as its history is short; with
+    fewer than ``least`` of them the first ``most`` tradables instead."""
+    known = panel.select("ticker", "category", "tradable", "pos").distinct().filter(F.col("category") != without).orderBy("pos", "ticker").collect()  # the universe
+    own = [r.ticker for r in known if r.ticker in set(wanted)]
+    return own if len(own) >= least else [r.ticker for r in known if r.tradable][:most]
+
+
 def market_features(panel: DataFrame, vix: DataFrame, tickers: list[str], vol_rows: int = 20, dd_rows: int = 40) -> DataFrame:
-    """Return, volatility, mean correlation, dispersion, drawdown and volatility index of a sleeve, by date."""
-    own = panel.filter(F.col("ticker").isin(tickers))
+    """Return, volatility, mean correlation, dispersion, drawdown and volatility index of ``market_sleeve``, by date."""
+    own = panel.filter(F.col("ticker").isin(market_sleeve(panel, tickers)))
     series = own.groupBy("date").agg(F.avg("ret").alias("mkt_ret"), F.stddev_samp("ret").alias("disp"))
     frame = calendar_order().rowsBetween(-(vol_rows - 1), 0)
     series = series.withColumn("mkt_vol", F.when(F.count("mkt_ret").over(frame) >= max(5, vol_rows // 2), F.stddev_samp("mkt_ret").over(frame)) * 252**0.5)
     as_panel = series.select("date", F.lit("market").alias("ticker"), F.col("mkt_ret").alias("ret"))
     fall = wealth_drawdown(as_panel, dd_rows).select("date", F.col("value").alias("dd"))
-    near = market_correlation(own, dd_rows).withColumnRenamed("value", "avg_corr")
+    near = market_correlation(own, vol_rows).withColumnRenamed("value", "avg_corr")
     return series.join(near, "date", "left").join(fall, "date", "left").join(vix, "date", "left").select("date", "mkt_ret", "mkt_vol", "avg_corr", "disp", "dd", "vix")

@@ -143,7 +143,7 @@ def trailing_rows(panel: DataFrame, rows: int, until: str | None = None) -> Data
     dates = panel.select("date").distinct()
     if until:
         dates = dates.filter(F.col("date") <= F.to_date(F.lit(until)))
-    return panel.join(F.broadcast(dates.orderBy(F.desc("date")).limit(rows)), "date", "left_semi")
+    return panel.join(dates.orderBy(F.desc("date")).limit(rows), "date", "left_semi")
 
 
 def as_of(values: DataFrame, dates: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def as_of(values: DataFrame, dates: DataFrame) -> DataFrame:
 
     Both sides meet in one sorted pass by ticker: asked dates are rows that carry the last row seen.
     """
-    asked = dates.select("date").distinct().crossJoin(F.broadcast(values.select("ticker").distinct())).select("ticker", "date", F.lit(None).cast("struct<v:double>").alias("x"), F.lit(1).alias("ask"))
+    asked = dates.select("date").distinct().crossJoin(values.select("ticker").distinct()).select("ticker", "date", F.lit(None).cast("struct<v:double>").alias("x"), F.lit(1).alias("ask"))
     both = values.select("ticker", "date", F.struct(F.col("value").cast("double").alias("v")).alias("x"), F.lit(0).alias("ask")).unionByName(asked)
     seen = F.last("x", ignorenulls=True).over(Window.partitionBy("ticker").orderBy("date", "ask").rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn("x", seen).filter("ask = 1").select("date", "ticker", F.col("x.v").alias("value"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.functions.columns import by_date, normalized, rolling
+from tidewright.functions.columns import by_date, normalized, rolling, scrub
 from tidewright.operators import riskopt, signals
 from tidewright.operators.correlation import rolling_avg_correlation
 
@@ -43,7 +43,7 @@ def parse_strategies(names: str | None) -> list[str]:
 
 def at(values: DataFrame, dates: DataFrame) -> DataFrame:
     """Values on rebalance dates, which are dates of the calendar, so the last row at or before is the row itself."""
-    return values.join(F.broadcast(dates.select("date").distinct()), "date", "left_semi")
+    return values.join(dates.select("date").distinct(), "date", "left_semi")
 
 
 def _weights(df: DataFrame) -> DataFrame:
@@ -89,8 +89,8 @@ def risk_parity(panel: DataFrame, dates: DataFrame, rows: int = 63, method: str
 def _by_covariance(own: DataFrame, live: DataFrame, dates: DataFrame, rows: int, solve: Callable) -> DataFrame:
     """For each date the returns of the last ``rows`` rows go to one group: rows by tickers, bounded by the universe."""
     calendar = own.select("date").distinct().withColumn("n", F.row_number().over(signals.Window.orderBy("date")))  # one row a date
-    asked = calendar.join(F.broadcast(dates.select("date").distinct()), "date", "left_semi").select(F.col("date").alias("at"), F.col("n").alias("last"))
-    spans = calendar.join(F.broadcast(asked), (F.col("n") <= F.col("last")) & (F.col("n") > F.col("last") - rows)).select("date", "at")
+    asked = calendar.join(dates.select("date").distinct(), "date", "left_semi").select(F.col("date").alias("at"), F.col("n").alias("last"))
+    spans = asked.select("at", F.explode(F.sequence(F.greatest(F.lit(1), F.col("last") - rows + 1), F.col("last"))).alias("n")).join(calendar, "n").select("date", "at")
     block = own.select("date", "ticker", "ret").join(spans, "date").join(live.select(F.col("date").alias("at"), "ticker"), ["at", "ticker"])
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
@@ -115,10 +115,10 @@ def min_variance(panel: DataFrame, dates: DataFrame, rows: int = 120, floor: flo
 
 
 @register("momentum_score")
-def composite(panel: DataFrame, dates: DataFrame, n: int = 8, weights: tuple[float, float, float, float] = (0.4, 0.2, 0.2, 0.2), vol_rows: int = 63, corr_rows: int = 120, volume_rows: int = 20, absolute: bool = True) -> DataFrame:
+def composite(panel: DataFrame, dates: DataFrame, n: int = 8, weights: tuple[float, float, float, float] = (0.4, 0.2, 0.2, 0.2), vol_rows: int = 63, corr_rows: int = 120, volume_rows: int = 20, absolute: bool = True, momentum: dict[int, float] | None = None, skip: int = 0) -> DataFrame:
     """z-scores of momentum, dollar-volume ratio, low volatility and low correlation; momentum filter before the top n."""
     own = panel.filter("tradable")
-    parts = [signals.momentum_score(own), signals.dollar_volume_ratio(own, volume_rows), signals.realized_vol(own, vol_rows), rolling_avg_correlation(own, corr_rows)]
+    parts = [signals.momentum_score(own, momentum, skip), signals.dollar_volume_ratio(own, volume_rows), signals.realized_vol(own, vol_rows), rolling_avg_correlation(own, corr_rows, dates)]
     total, joined = sum(map(abs, weights)), None
     for i, (part, sign) in enumerate(zip(parts, (1, 1, -1, -1), strict=True)):
         z = signals.zscore(at(part, dates).withColumn("value", sign * F.col("value"))).withColumnRenamed("value", f"z{i}")
@@ -137,40 +137,63 @@ def regime_based(panel: DataFrame, dates: DataFrame, regimes: DataFrame, on: dic
     rows = [(label, c, float(w)) for label, block in (("risk_on", on), ("risk_off", off)) for c, w in block.items() if c != "cash"]
     blocks = panel.sparkSession.createDataFrame(rows, "block string, category string, share double")
     labelled = at(regimes.select("date", "regime"), dates).withColumn("block", F.when(F.col("regime") == "risk_on", "risk_on").otherwise("risk_off"))
-    live = available(panel, dates).join(labelled, "date").join(F.broadcast(blocks), ["block", "category"])
+    live = available(panel, dates).join(labelled, "date").join(blocks, ["block", "category"])
     return _weights(live.withColumn("w", F.col("share") / F.count("*").over(signals.Window.partitionBy("date", "category"))))
 
 
-@register("regime_budget")
-def regime_budget(base: DataFrame, regimes: DataFrame, discrete: bool = True, budgets: tuple[float, float, float] = (1.0, 0.6, 0.3), least: float = 0.0) -> DataFrame:
-    """Base weights times a budget by label, or between the lowest and highest by the score's tanh."""
-    on, mid, off = budgets
+def budgeted(base: DataFrame, regimes: DataFrame, discrete: bool = True, budgets: tuple[float, float, float] = (1.0, 0.6, 0.3), least: float = 0.0) -> DataFrame:
+    """Base weights times a budget by label, or between the lowest and highest by the score's tanh; without a score the middle one."""
+    on, mid, off = (F.lit(float(b)) for b in budgets)
     by_label = F.when(F.col("regime") == "risk_on", on).when(F.col("regime") == "risk_off", off).otherwise(mid)
-    smooth = off + (on - off) * (0.5 + 0.5 * F.tanh("score"))
-    budget = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(float(least)), by_label if discrete else smooth))
-    joined = base.join(regimes, "date", "left")
-    return _weights(joined.withColumn("w", F.col("w") * budget))
+    smooth = F.coalesce(F.greatest(F.lit(float(least)), scrub(off + (on - off) * (0.5 + 0.5 * F.tanh("score")))), mid)
+    smooth = F.when(F.col("score").isNull(), mid).otherwise(smooth)
+    budget = F.least(F.lit(1.0), F.greatest(F.lit(0.0), by_label if discrete else smooth))
+    return _weights(base.join(regimes, "date", "left").withColumn("w", F.col("w") * budget))
+
+
+@register("regime_budget")
+def regime_budget(panel: DataFrame, dates: DataFrame, regimes: DataFrame, base: str = "topn", base_params: dict | None = None, discrete: bool = True, budgets: tuple[float, float, float] = (1.0, 0.6, 0.3), least: float = 0.0) -> DataFrame:
+    """Another strategy's weights, as large as the regime allows; the rest is cash."""
+    return budgeted(get_strategy(base)(panel, dates, **(base_params or {})), regimes, discrete, budgets, least)
 
 
 def fixed(panel: DataFrame, dates: DataFrame, shares: dict[str, float]) -> DataFrame:
     """Given shares of those available; what is missing is cash."""
     wanted = panel.sparkSession.createDataFrame([(t, float(w)) for t, w in shares.items()], "ticker string, share double")
-    return _weights(available(panel, dates).join(F.broadcast(wanted), "ticker").withColumn("w", normalized(F.col("share"), by_date())))
+    return _weights(available(panel, dates).join(wanted, "ticker").withColumn("w", normalized(F.col("share"), by_date())))
 
 
 @register("bench_6040")
-def bench_6040(panel: DataFrame, dates: DataFrame, equity: str, bonds: str) -> DataFrame:
-    return fixed(panel, dates, {equity: 0.6, bonds: 0.4})
+def bench_6040(panel: DataFrame, dates: DataFrame, equity: str | None = None, bonds: str | None = None, shares: dict[str, float] | None = None) -> DataFrame:
+    return fixed(panel, dates, shares or {t: w for t, w in ((equity, 0.6), (bonds, 0.4)) if t})
 
 
 @register("bench_bh")
-def bench_bh(panel: DataFrame, dates: DataFrame, ticker: str) -> DataFrame:
-    return fixed(panel, dates, {ticker: 1.0})
+def bench_bh(panel: DataFrame, dates: DataFrame, ticker: str | None = None, shares: dict[str, float] | None = None) -> DataFrame:
+    return fixed(panel, dates, shares or {t: 1.0 for t in (ticker,) if t})
 
 
 @register("bench_equal")
-def bench_equal(panel: DataFrame, dates: DataFrame) -> DataFrame:
-    return _weights(available(panel, dates).withColumn("w", 1.0 / F.count("*").over(by_date())))
+def bench_equal(panel: DataFrame, dates: DataFrame, members: tuple[str, ...] = ()) -> DataFrame:
+    live = available(panel, dates)
+    live = live.filter(F.col("ticker").isin(*members)) if members else live
+    return _weights(live.withColumn("w", 1.0 / F.count("*").over(by_date())))
+
+
+#: Rows of history that a strategy needs before its weights mean something, from its parameters.
+WARM = {
+    "topn": lambda p: max(p.get("weights") or {252: 1.0}) + p.get("skip", 0),
+    "risk_parity": lambda p: max(p.get("rows", 63), p.get("momentum_rows", 126) if p.get("momentum") else 0),
+    "momentum_score": lambda p: max(252, *(p.get("momentum") or {252: 1.0}), p.get("vol_rows", 63), p.get("corr_rows", 120), p.get("volume_rows", 20)),
+    "min_variance": lambda p: max(p.get("rows", 120), p.get("momentum_rows", 126) if p.get("momentum") else 0),
+    "regime_based": lambda p: 126,
+    "regime_budget": lambda p: max(126, warm_up(p.get("base", "topn"), p.get("base_params") or {})),
+    **{name: lambda p: 1 for name in BENCHMARKS},
+}
+
+
+def warm_up(name: str, params: dict) -> int:
+    return WARM.get(name, lambda p: 252)(params)
 
 
 def overlay(weights: DataFrame, max_single: float = 1.0, max_gross: float = 1.0, market: DataFrame | None = None, threshold: float = 0.85, budget: float = 0.5) -> DataFrame:

@@ -11,6 +11,7 @@ from tidewright.functions.columns import finite, money, percent, phi_inv_sql, ph
 from tidewright.operators import correlation, engine, hmm, metrics, regime, report, runner, signals, strategies
 from tidewright.plans import oracle as o
 from tidewright.sources import bars
+from tidewright.sources.scratch import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -45,6 +46,11 @@ def on_panel(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = N
     add(name, sql)(lambda spark, sf: f(panel(spark, sf)))
 
 
+def on_written(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    """As ``on_panel``, for queries of many plans: the panel is written once."""
+    add(name, sql)(lambda spark, sf: f(stash(panel(spark, sf), "panel")))
+
+
 def valued(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
     on_panel(name, lambda p: f(p).select("date", "ticker", r6(F.col("value"), "value")), sql)
 
@@ -216,7 +222,7 @@ _based = f"{_live}{o.REGIME}, k(block, category, share) AS (VALUES {_blocks}), r
 add("t05_regime_based", f"{o.BASE}{_based} SELECT date, ticker, round(w, 6) AS w FROM rb")(lambda s, sf: (lambda p: strategies.regime_based(p, dates(p), labels(s, sf), BLOCK_ON, BLOCK_OFF).select("date", "ticker", r6(F.col("w"), "w")))(panel(s, sf)))
 _budget = "CASE regime WHEN 'risk_on' THEN 1.0e0 WHEN 'risk_off' THEN 0.3e0 ELSE 0.6e0 END"
 for _name, _discrete, _expr in (("t07_regime_budget", True, _budget), ("t07_regime_budget_smooth", False, "least(1, greatest(0, 0.3e0 + 0.7e0 * (0.5e0 + 0.5e0 * tanh(score))))")):
-    add(_name, f"{o.BASE}{_topn}{o.REGIME} SELECT tn.date, ticker, round(w * {_expr}, 6) AS w FROM tn JOIN regime r ON tn.date = r.date")(lambda s, sf, x=_discrete: (lambda p: strategies.regime_budget(strategies.topn(p, dates(p)), labels(s, sf), x).select("date", "ticker", r6(F.col("w"), "w")))(panel(s, sf)))
+    add(_name, f"{o.BASE}{_topn}{o.REGIME} SELECT tn.date, ticker, round(w * {_expr}, 6) AS w FROM tn JOIN regime r ON tn.date = r.date")(lambda s, sf, x=_discrete: (lambda p: strategies.budgeted(strategies.topn(p, dates(p)), labels(s, sf), x).select("date", "ticker", r6(F.col("w"), "w")))(panel(s, sf)))
 weighted("t08_sixty_forty", lambda p, d: strategies.bench_6040(p, d, "NATION_0", "NATION_2"), f"{o.BASE}{_live} SELECT date, ticker, CASE ticker WHEN 'NATION_0' THEN 0.6e0 ELSE 0.4e0 END AS w FROM a WHERE ticker IN ('NATION_0', 'NATION_2')")
 weighted("t09_equal_weight", strategies.bench_equal, f"{o.BASE}{_live} SELECT date, ticker, round(1.0e0 / count(*) OVER (PARTITION BY date), 6) AS w FROM a")
 weighted("t10_buy_and_hold", lambda p, d: strategies.bench_bh(p, d, "NATION_0"), f"{o.BASE}{_live} SELECT date, ticker, 1.0e0 AS w FROM a WHERE ticker = 'NATION_0'")
@@ -231,22 +237,49 @@ def paths(p: DataFrame, names: tuple[str, ...] = SUITE, freqs: tuple[str, ...] =
     return runner.suite(p, {n: runner.by_name(p, n) for n in names}, freqs, **window)
 
 
-on_panel("b01_backtest_paths", lambda p: paths(p).select("strategy", "freq", "date", r6(F.col("equity"), "equity"), r6(F.col("turnover"), "turnover"), r6(F.col("cash"), "cash"), "rebalanced"))
+on_written("b01_backtest_paths", lambda p: paths(p).select("strategy", "freq", "date", r6(F.col("equity"), "equity"), r6(F.col("turnover"), "turnover"), r6(F.col("cash"), "cash"), "rebalanced"))
 # one ticker bought on the first month end: later rebalances only spend what costs left in cash
-on_panel("b01_buy_and_hold_path", lambda p: runner.suite(p, {"bh": runner.by_name(p, "bench_bh", ticker="NATION_0")}, ("monthly",), cost=0.0).select("date", r6(F.col("equity"), "equity")), f"{o.BASE}{o.DATES}, z AS (SELECT min(p.date) AS date FROM p JOIN d ON p.date = d.date), h AS (SELECT min(p.date) AS date FROM p JOIN d ON p.date = d.date WHERE ticker = 'NATION_0' AND px IS NOT NULL) SELECT cal.date, round(CASE WHEN h.date IS NULL OR cal.date <= h.date THEN 100000.0e0 ELSE 100000 * px / (SELECT px FROM p q, h WHERE q.ticker = 'NATION_0' AND q.date = h.date) END, 6) AS equity FROM cal CROSS JOIN h CROSS JOIN z LEFT JOIN p ON p.date = cal.date AND ticker = 'NATION_0' WHERE cal.date >= z.date")
-on_panel("b01_equal_weight_path", lambda p: runner.suite(p, {"eq": runner.by_name(p, "bench_equal")}, ("monthly",), cost=0.0).select("date", F.round("equity", 4).alias("equity")), f"""{o.BASE}{o.DATES}, k AS (SELECT date, row_number() OVER (ORDER BY date) AS n, lead(date, 1, DATE '9999-12-31') OVER (ORDER BY date) AS until FROM d),
+on_written("b01_buy_and_hold_path", lambda p: runner.suite(p, {"bh": runner.by_name(p, "bench_bh", ticker="NATION_0")}, ("monthly",), cost=0.0).select("date", r6(F.col("equity"), "equity")), f"""{o.BASE}{o.DATES}, q AS (SELECT date, px FROM p WHERE ticker = 'NATION_0'), h AS (SELECT min_by(px, q.date) AS px0, min(q.date) AS bought FROM q JOIN d ON q.date = d.date WHERE px IS NOT NULL), z AS (SELECT min(date) AS first FROM d)
+SELECT cal.date, round(CASE WHEN bought IS NULL OR cal.date <= bought THEN 100000.0e0 ELSE 100000 * px / px0 END, 6) AS equity FROM cal CROSS JOIN h CROSS JOIN z LEFT JOIN q ON q.date = cal.date WHERE cal.date >= first""")
+on_written("b01_equal_weight_path", lambda p: runner.suite(p, {"eq": runner.by_name(p, "bench_equal")}, ("monthly",), cost=0.0).select("date", F.round("equity", 4).alias("equity")), f"""{o.BASE}{o.DATES}, k AS (SELECT date, row_number() OVER (ORDER BY date) AS n, lead(date, 1, DATE '9999-12-31') OVER (ORDER BY date) AS until FROM d),
 g AS (SELECT c.date, k.n, avg(q.px / s.px) AS grown FROM cal c JOIN k ON c.date > k.date AND c.date <= k.until JOIN p s ON s.date = k.date AND s.tradable AND s.px IS NOT NULL JOIN p q ON q.date = c.date AND q.ticker = s.ticker GROUP BY 1, 2),
 t AS (SELECT g.n, g.grown FROM g JOIN k ON g.n = k.n AND g.date = k.until), m AS (SELECT k.n, 100000 * coalesce(exp(sum(ln(t.grown)) OVER (ORDER BY k.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS e FROM k LEFT JOIN t ON k.n = t.n)
 SELECT date, round(e, 4) AS equity FROM (SELECT (SELECT min(date) FROM k) AS date, 100000.0e0 AS e UNION ALL SELECT g.date, m.e * g.grown FROM g JOIN m ON g.n = m.n)""")
+# the same with costs: a fold over dates in SQL, holdings as a list; weights sum to one or none, and corrections end where cash pays the costs
+_bought = "(v - 0.0015e0 * {})"
+_traded = lambda t: f"list_sum(list_transform(list_zip(w, g), lambda z: abs(z[1] * {_bought.format(t)} - z[2])))"
+_steps = "SELECT *, list_sum(list_transform(list_zip(w, g), lambda z: abs(z[1] * v - z[2]))) AS t1 FROM day"
+for _k in range(1, 6):
+    _steps = f"SELECT *, {_traded(f't{_k}')} AS t{_k + 1} FROM ({_steps})"
+_ends = lambda which: "CASE WHEN v * (1 - list_sum(w)) - 0.0015e0 * t1 >= -1e-9 THEN " + which(0) + "".join(f" WHEN 0.0015e0 * (t{k} - t{k + 1}) >= -1e-9 THEN {which(k)}" for k in range(1, 5)) + f" ELSE {which(5)} END"
+_steps = f"SELECT *, {_ends(lambda k: f't{k}' if k else '0.0e0')} AS due, {_ends(lambda k: f't{k + 1}')} AS paid FROM ({_steps})"
+on_written("b01_equal_weight_costs", lambda p: runner.suite(p, {"eq": runner.by_name(p, "bench_equal")}, ("monthly",), cost=0.0015).select("date", F.round("equity", 4).alias("equity"), F.round("turnover", 6).alias("turnover")), f"""{o.BASE}{o.DATES},
+x AS (SELECT date, list(coalesce(ret, 0) ORDER BY ticker) AS r, list(CASE WHEN tradable AND px IS NOT NULL THEN 1.0e0 ELSE 0.0e0 END ORDER BY ticker) AS ok FROM p GROUP BY 1),
+y AS (SELECT x.date, r, CASE WHEN d.date IS NOT NULL THEN list_transform(ok, lambda v: v / greatest(list_sum(ok), 1)) END AS w, row_number() OVER (ORDER BY x.date) AS n FROM x LEFT JOIN d ON x.date = d.date WHERE x.date >= (SELECT min(date) FROM d)),
+e AS (SELECT 0 AS n, DATE '1900-01-01' AS date, list_transform(r, lambda v: 0.0e0) AS h, 100000.0e0 AS cash, 0.0e0 AS turnover FROM y WHERE n = 1
+  UNION ALL SELECT n, date, CASE WHEN w IS NULL THEN g ELSE list_transform(w, lambda a: a * {_bought.format("due")}) END, CASE WHEN w IS NULL THEN cash ELSE v - list_sum(w) * {_bought.format("due")} - 0.0015e0 * paid END, CASE WHEN w IS NULL THEN 0 ELSE paid / v END
+  FROM ({_steps.replace("FROM day", "FROM (SELECT *, list_sum(g) + cash AS v FROM (SELECT y.n, y.date, y.w, e.cash, list_transform(list_zip(e.h, y.r), lambda z: z[1] * (1 + z[2])) AS g FROM e JOIN y ON y.n = e.n + 1))")}))
+SELECT date, round(list_sum(h) + cash, 4) AS equity, round(turnover, 6) AS turnover FROM e WHERE n > 0""")
 on_panel("b04_benchmark_returns", lambda p: engine.benchmark_returns(p, dates(p), "NATION_0").select("date", r6(F.col("bench"), "bench")), f"{o.BASE}{o.DATES} SELECT d.date, round(ret, 6) AS bench FROM d LEFT JOIN p ON d.date = p.date AND ticker = 'NATION_0'")
 on_panel("b05_common_start", engine.common_start, f"""{o.BASE}, s AS (SELECT date, sum(CASE WHEN available THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS age FROM p WHERE tradable),
 r AS (SELECT date, sum(CASE WHEN age >= 252 THEN 1 ELSE 0 END) AS ready, row_number() OVER (ORDER BY date) - 1 AS n FROM s GROUP BY 1), k AS (SELECT greatest(3, least(8, count(DISTINCT ticker) // 2)) AS need FROM p WHERE tradable)
-SELECT date FROM r WHERE n = (SELECT least(coalesce(min(n), 0) + 5, (SELECT count(*) FROM r) - 2) FROM r, k WHERE ready >= need)""")
-_split = """, q AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS n, count(*) OVER () AS size FROM cal), sp AS (SELECT date, n, CASE WHEN n < floor(size * 0.6e0) THEN 'train' WHEN n < floor(size * 0.8e0) THEN 'valid' ELSE 'test' END AS split FROM q)"""
+SELECT date FROM r WHERE n = (SELECT least(coalesce(min(n), 252) + 5, (SELECT count(*) FROM r) - 2) FROM r, k WHERE ready >= need)""")
+_split = """, q AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS n, count(*) OVER () AS size FROM cal), sp AS (SELECT date, n, CASE WHEN n < floor(size * 0.6e0) THEN 'train' WHEN n < floor(size * 0.6e0) + floor(size * 0.2e0) THEN 'valid' ELSE 'test' END AS split FROM q)"""
 on_panel("b08_split", lambda p: metrics.split_summary(metrics.chronological_split(p)), f"{o.BASE}{_split} SELECT split, min(date) AS first, max(date) AS last, count(*) AS rows FROM sp GROUP BY 1")
-add("b09_walk_forward", "WITH k AS (SELECT unnest(range(0, 5)) AS fold) SELECT CAST(fold AS BIGINT) AS fold, CAST(500 + 100 * fold AS BIGINT) AS train_rows, CAST(501 + 100 * fold AS BIGINT) AS test_from, CAST(600 + 100 * fold AS BIGINT) AS test_to FROM k")(lambda s, sf: s.createDataFrame([(i, len(a), b.start, b.stop) for i, (a, b) in enumerate(metrics.walk_forward(1000))], "fold long, train_rows long, test_from long, test_to long"))
-on_panel("b07_out_of_sample", lambda p: runner.out_of_sample(p, {n: runner.by_name(p, n) for n in SUITE}, ("monthly",)).withColumns({"valid": F.round("valid", 6), "test": F.round("test", 6)}))
-on_panel("b12_sweep", lambda p: runner.marginal_means(runner.measured(runner.suite(p, runner.sweep(p, (1, 5), (63, 252)), ("monthly",)))))
+on_panel("b09_walk_forward", lambda p: metrics.walk_forward_plan(p).withColumn("fold", F.col("fold").cast("long")), f"""{o.BASE}, q AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS n, count(*) OVER () AS size FROM cal),
+fd AS (SELECT k AS fold, size // 2 + k * ((size - size // 2) // 5) AS a, CASE WHEN k = 4 THEN size - 1 ELSE size // 2 + (k + 1) * ((size - size // 2) // 5) - 1 END AS b FROM (SELECT any_value(size) AS size FROM q), range(0, 5) t(k) WHERE size >= 10 AND (size - size // 2) // 5 > 2)
+SELECT CAST(fold AS BIGINT) AS fold, e.date AS train_end, x.date AS test_start, y.date AS test_end FROM fd JOIN q e ON e.n = a - 2 JOIN q x ON x.n = a JOIN q y ON y.n = b""")
+on_written("b07_out_of_sample", lambda p: runner.out_of_sample(p, {n: runner.by_name(p, n) for n in SUITE}, ("monthly",)).withColumns({"valid": F.round("valid", 6), "test": F.round("test", 6)}))
+on_panel("b12_sweep", lambda p: runner.sweep(p).select("strategy", "n", "lookback", "filt", "n_periods", *(r6(F.col(c), c) for c in ("full_cagr", "full_sharpe", "full_max_drawdown", "full_calmar", "valid_sharpe", "test_sharpe", "test_max_drawdown", "js", "dsr"))))
+_trials = {name: (o.momentum(w, skip), o.change("px", max(w))) for name, (w, skip) in runner.LOOKBACKS.items()}
+_stack = " UNION ALL ".join(f"SELECT date, ticker, px, '{name}' AS lookback, {score} AS score, {long} AS long FROM p WHERE tradable" for name, (score, long) in _trials.items())
+on_written("b12_sweep_weights", lambda p: runner.sweep_weights(p, dates(p)).withColumn("w", F.round("w", 6)), f"""{o.BASE}{o.DATES}, s AS ({_stack}), r AS (SELECT *, row_number() OVER (PARTITION BY date, lookback ORDER BY score DESC, ticker) AS k FROM s WHERE px IS NOT NULL AND score IS NOT NULL AND date IN (SELECT date FROM d)),
+g AS (SELECT CAST(n AS INTEGER) AS n, filt FROM (VALUES (3), (5), (7), (10)) x(n), (VALUES ('on'), ('off')) y(filt))
+SELECT n, lookback, filt, date, ticker, round(1.0e0 / count(*) OVER (PARTITION BY n, lookback, filt, date), 6) AS w FROM r JOIN g ON k <= n AND (filt = 'off' OR long > 0)""")
+add("b13_hmm_comparison")(lambda s, sf: (lambda f: f.select("window", "strategy", *(r6(F.col(c), c) for c in f.columns[2:])))(runner.hmm_comparison(panel(s, sf), bars.vix_of_tables(s, sf), ON, OFF)))
+on_panel("u03_shared_dates", lambda p: runner.shared_dates(p.filter("ticker = 'NATION_0' AND px IS NOT NULL"), p.filter("ticker = 'NATION_1' AND px IS NOT NULL")), f"{o.BASE} SELECT date FROM p WHERE ticker = 'NATION_0' AND px IS NOT NULL INTERSECT SELECT date FROM p WHERE ticker = 'NATION_1' AND px IS NOT NULL")
+on_panel("u03_union_of_dates", lambda p: runner.union_of_dates(p.filter("ticker = 'NATION_0' AND px IS NOT NULL"), p.filter("ticker = 'NATION_1' AND px IS NOT NULL")), f"{o.BASE} SELECT DISTINCT date FROM p WHERE ticker IN ('NATION_0', 'NATION_1') AND px IS NOT NULL")
+on_panel("a14_first_seen", lambda p: runner.first_seen(p.filter("px IS NOT NULL"), "ticker", "date"), f"{o.BASE} SELECT ticker, min(date) AS date FROM p WHERE px IS NOT NULL GROUP BY 1")
 
 # metrics
 _cols = ("total_return", "cagr", "ann_volatility", "sharpe", "sortino", "max_drawdown", "calmar", "win_rate", "profit_factor", "skew", "kurt")
@@ -273,7 +306,7 @@ on_panel("o04_comparison", lambda p: metrics.comparison_table(trials(p)).limit(1
 on_panel("o06_momentum_ranking", lambda p: signals.as_of(signals.momentum_score(p.filter("tradable")), p.agg(F.max("date").alias("date"))).dropna().select("ticker", r6(F.col("value"), "value")).orderBy(F.desc("value"), "ticker").limit(10), f"{o.BASE}, s AS (SELECT date, ticker, tradable, {o.momentum({252: 0.5, 126: 0.3, 63: 0.2})} AS v FROM p) SELECT ticker, round(v, 6) AS value FROM s WHERE tradable AND date = (SELECT max(date) FROM cal) AND v IS NOT NULL ORDER BY round(v, 6) DESC, ticker LIMIT 10")
 on_panel("x01_best_flags", lambda p: report.best_flags(trials(p), ["cagr", "ann_volatility"]).select("strategy", "best_cagr", "best_ann_volatility"), f"{o.BASE}{o.METRICS} SELECT ticker AS strategy, cagr = max(cagr) OVER () AS best_cagr, ann_volatility = min(ann_volatility) OVER () AS best_ann_volatility FROM m")
 on_panel("x11_drawdown_frame", lambda p: report.drawdown_frame(curves(p).withColumnRenamed("ticker", "strategy").withColumn("freq", F.lit("d"))).select("strategy", "date", r6(F.col("drawdown"), "drawdown")), f"{o.BASE}{o.CURVE} SELECT ticker AS strategy, date, round(100 * dd, 6) AS drawdown FROM e")
-on_panel("x16_observations", lambda p: report.observations(trials(p)), f"{o.BASE}{o.METRICS} SELECT max_by(ticker || '/daily', cagr) AS best_cagr, max_by(ticker || '/daily', sharpe) AS best_sharpe, max_by(ticker || '/daily', cagr / abs(mdd)) AS best_calmar, max_by(ticker || '/daily', mdd) AS best_max_drawdown, CAST(0 AS BIGINT) AS beat_buy_and_hold FROM m")
+on_panel("x16_observations", lambda p: report.observations(trials(p), "nation_0"), f"{o.BASE}{o.METRICS} SELECT max_by(ticker || '/daily', cagr) AS best_cagr, max_by(ticker || '/daily', sharpe) AS best_sharpe, max_by(ticker || '/daily', cagr / abs(mdd)) AS best_calmar, max_by(ticker || '/daily', mdd) AS best_max_drawdown, CAST(coalesce(sum(CASE WHEN cagr > (SELECT max(cagr) FROM m WHERE lower(ticker) LIKE '%nation_0%') THEN 1 END), 0) AS BIGINT) AS beat_buy_and_hold FROM m")
 
 
 def queries() -> dict[str, Query]:

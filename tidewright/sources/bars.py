@@ -15,7 +15,7 @@ BAR_SCHEMA = "ticker string, date date, open double, high double, low double, cl
 def bars_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars over the star schema: a nation is a ticker, its region the category, discounts make the price."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    places = read("supplier").join(F.broadcast(read("nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(read("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     lines = read("lineitem").select("l_suppkey", F.col("l_shipdate").cast("date").alias("date"), "l_discount", "l_quantity")
     # counts first by supplier and day: what is shuffled is one row for each, not each line
     daily = lines.groupBy("l_suppkey", "date").agg(F.sum("l_discount").alias("d"), F.min("l_discount").alias("lo"), F.max("l_discount").alias("hi"), F.sum("l_quantity").alias("q"), F.count("l_discount").alias("n"))
@@ -71,7 +71,7 @@ def build_panel(bars: DataFrame, assets: DataFrame, start: str | None = None, en
         bars = bars.join(bars.groupBy("ticker").agg(F.count("close").alias("_n")).filter(F.col("_n") >= min_obs), "ticker", "left_semi")
     calendar = bars.select("date").distinct()
     present = assets.join(bars.select("ticker").distinct(), "ticker", "left_semi")
-    grid = calendar.crossJoin(F.broadcast(present))
+    grid = calendar.crossJoin(present)
     raw = bars.select("ticker", "date", "close", "high", "low", "volume")
     filled = grid.join(raw, ["ticker", "date"], "left").select("date", "ticker", "category", "tradable", "pos", *(F.last(c, ignorenulls=True).over(so_far()).alias(c) for c in ("close", "high", "low", "volume")))
     panel = filled.withColumn("px", F.col("close")).withColumns({"dollar_volume": F.col("close") * F.col("volume"), "ret": change("px", 1), "available": F.col("px").isNotNull()})
