@@ -53,10 +53,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*stashed: DataFrame) -> None:
-    """Delete the files of stashed tables that no later plan reads."""
+    """Delete the files of stashed tables that no later plan reads, and let Spark clean up the shuffles behind written tables.
+
+    Spark deletes a shuffle's files once the driver has collected what refers to it, which a large heap may put off for long.
+    """
     for df in stashed:
         if getattr(df, "scratch", None) in _made:
             _delete(df.sparkSession, df.scratch)
+    if stashed:
+        stashed[0].sparkSession._jvm.java.lang.System.gc()
 
 
 def scratch_mark() -> int:
