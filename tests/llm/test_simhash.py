@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from tidewright.llm import simhash
 from tidewright.llm.components import components
 from tidewright.llm.simhash import fingerprint, fuzzy_keys, golay_tables, near_duplicates, one_of_each
 
@@ -85,3 +86,39 @@ def test_one_id_with_several_texts(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma delta", 7), (1, "one two three four five six", 7), (2, "alpha beta gamma delta", 7), (None, "quite another text", 7)], "doc_id long, text string, did int")
     assert sorted(str(r.text) for r in one_of_each(docs).collect()) == ["alpha beta gamma delta", "one two three four five six", "quite another text"]
     assert one_of_each(docs).columns == docs.columns
+
+
+def test_hot_buckets_are_parted(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(simhash, "HOT", 3)
+    base = [f"w{rng.randrange(3000)}" for _ in range(250)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for p in rng.sample(range(250), rng.randrange(0, 4)):
+            words[p] = f"x{rng.randrange(99)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(rng.choices(base, k=200)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == classes(list(range(len(texts))), [plain(t) for t in texts])
+
+
+def test_stage_keeps_one_of_texts_alike(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows, n = [], 0
+    for g in range(12):
+        base = [word() for _ in range(120)]
+        for edits in (0, 0, 1, 2):
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(120)] = word()
+            rows.append((n, " ".join(words), g))
+            n += 1
+    rows += [(None, "", -1), (None, None, -1), (n, "short one", -2), (n, "short one", -2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root int").repartition(3)
+    kept = simhash.one_of_each_alike(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.root) for r in kept.collect()) == sorted([*((str(4 * g), g) for g in range(12)), ("None", -1), (str(n), -2)])
+    assert simhash.one_of_each_alike(docs.limit(0)).count() == 0

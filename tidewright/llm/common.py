@@ -2,81 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# scratch tables are used through this module
+from tidewright.sources.scratch import drop, drop_since, fresh_path, qualified, scratch_mark, shared_dir, stash  # noqa: F401
+
 #: ASCII white space: the bytes between words, as in ``[^\x20\x09-\x0D]+`` and ``bytes.split()``.
 SPACES = b"\t\n\x0b\x0c\r "
 NO_ID = -(2**63)
-_made: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``) with its scheme. Unset, it is a temporary one, in local mode only."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tidewright-")
-        atexit.register(shutil.rmtree, folder, True)
-        found = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return qualified(spark, found).rstrip("/")
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """A path with its scheme: without one it means the default file system, as Spark reads it."""
-    return path if "://" in path else _system(spark, path)[1].toString().replace("file:/", "file:///", 1)
-
-
-def _system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system, at.makeQualified(system.getUri(), system.getWorkingDirectory())
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    folder = f"{shared_dir(spark)}/tidewright-{uuid.uuid4().hex}"
-    _made.append(folder)
-    return f"{folder}/{name}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path.rsplit("/", 1)[0]
-    return out
-
-
-def drop(*stashed: DataFrame) -> None:
-    """Delete the files of stashed tables that no later plan reads."""
-    for df in stashed:
-        if getattr(df, "scratch", None) in _made:
-            _made.remove(df.scratch)
-            _system(df.sparkSession, df.scratch)[0].delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch), True)
-
-
-def scratch_mark() -> int:
-    return len(_made)
-
-
-def drop_since(spark: SparkSession, mark: int, keep: list[DataFrame]) -> None:
-    """Delete all scratch made since ``mark`` but the tables to keep: once a result is stashed, nothing reads the rest."""
-    kept = {df.scratch for df in keep}
-    for folder in [f for f in _made[mark:] if f not in kept]:
-        _made.remove(folder)
-        _system(spark, folder)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
 
 
 def text_key(text: Column) -> tuple[Column, Column]:

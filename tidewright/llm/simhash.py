@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import NO_ID, drop, keyed_rows, stash, unsigned_hex, unwrapped, wrapped
+from tidewright.llm import jaccard
+from tidewright.llm.common import NO_ID, keyed_rows, stash, unsigned_hex, unwrapped, wrapped
 from tidewright.llm.components import components
 
 SHINGLE = 4
@@ -20,6 +21,8 @@ SEED = 42
 #: Generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Members of a bucket above which it is parted by blocks of the fingerprints.
+HOT = 4096
 #: Bucket size up to which a bucket's members are compared side by side, without a search.
 SMALL = 16
 MASK = 0xFFFFFFFF
@@ -105,7 +108,7 @@ def fuzzy_keys(fps: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[
         row, p, q = np.nonzero((a >= 0) & (b >= 0))
         keys.append(number << 24 | each[i][row, p] << 12 | each[j][row, q])
         rows.append(row)
-    return np.concatenate(keys).astype(np.int32), np.concatenate(rows)
+    return np.concatenate(keys), np.concatenate(rows)
 
 
 def close_links(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -152,7 +155,7 @@ def bucket_links(keyed: DataFrame, distance: int) -> DataFrame:
     """``a, b``: links that connect, bucket by bucket, all fingerprints of one key within ``distance``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        key, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
         def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -187,6 +190,17 @@ def bucket_links(keyed: DataFrame, distance: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def parted(keyed: DataFrame, distance: int) -> DataFrame:
+    """keyed (key, fp) with each row once for each of ``distance + 1`` blocks of its fingerprint's bits, which the new key holds.
+
+    Of two fingerprints within the distance at least one block has no differing bit, so they meet again.
+    """
+    blocks, edges = distance + 1, [64 * i // (distance + 1) for i in range(distance + 2)]
+    block = lambda i: F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+    keys = F.array(*(F.xxhash64("key", F.lit(i), block(i)) for i in range(blocks)))
+    return keyed.select(F.explode(keys).alias("key"), "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``did, one, two, doc_id, fp, fingerprint, root, component_id`` for each row of docs (doc_id, text; other columns are ignored).
 
@@ -209,7 +223,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
                 key, row = fuzzy_keys(fps, tables)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row].view(np.int64))], ["key", "fp"])
 
-    links = bucket_links(unique.select("fp").mapInArrow(keys, "key int, fp long"), distance)
+    keyed = unique.select("fp").mapInArrow(keys, "key long, fp long")
+    hot = stash(keyed.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "hot")
+    if hot.isEmpty():
+        links = bucket_links(keyed, distance)
+    else:
+        links = bucket_links(keyed.join(hot, "key", "left_anti"), distance).unionByName(bucket_links(parted(keyed.join(hot, "key", "left_semi"), distance), distance))
     roots = components(links)
     linked = unique.join(roots, unique.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = stash(linked, "linked")
@@ -231,5 +250,14 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     return unwrapped(wrapped(docs).join(kept, key, "left_semi").dropDuplicates(key))
 
 
+def one_of_each_alike(docs: DataFrame, shingle: int = jaccard.SHINGLE, similarity: float = jaccard.SIMILARITY) -> DataFrame:
+    """docs with one row of each group of texts whose word shingles have a Jaccard similarity of ``similarity``, the smallest doc_id's.
+
+    Fingerprints within 4 bits make candidates by their Golay keys, and exact shingle sets decide. Texts of that similarity may lie
+    13 bits apart, beyond what the keys reach, so MinHash bands add candidates (``jaccard.one_of_each``).
+    """
+    return jaccard.one_of_each(docs, similarity, groups=near_duplicates(docs, shingle).select("did", "one", "two", "root"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")

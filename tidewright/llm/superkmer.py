@@ -243,7 +243,9 @@ def packed_strings(texts: DataFrame, hits: DataFrame, words: bool, length: int)
         yield _table(held)
 
     cuts = _asked(texts, hits).mapInArrow(cut, "m long, content long, s binary, copies long")
-    return stash(cuts.groupBy("m", "content", "s").agg(F.sum("copies").alias("copies")), "strings")
+    out = stash(cuts.groupBy("m", "content", "s").agg(F.sum("copies").alias("copies")), "strings")
+    drop(out.limit(0))  # the shuffles behind it
+    return out
 
 
 def _table(held: dict[bytes, list[int]]) -> pa.RecordBatch:
@@ -473,6 +475,7 @@ def repeated(docs: DataFrame, words: bool, length: int, k: int, judge: Callable,
     if not wide.isEmpty():
         found = found.unionByName(judged_in_pieces(strings.join(wide, "m", "left_semi"), judge, batch_bytes, limit, words, length, k))
     verdicts = stash(found, "verdicts")
+    drop(wide)
     spans = (
         places.join(verdicts, ["m", "content", "v"])
         .select("tid", (F.col("first") + F.col("a")).alias("low"), (F.col("first") + F.col("b") + length).alias("high"))
