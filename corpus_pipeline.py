@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import decontaminate, jaccard, language, mixing, sstable
-from tidewright.llm.common import stash
+from tidewright.llm import decontaminate, language, mixing, simhash, sstable
+from tidewright.llm.common import drop_since, scratch_mark, stash
+
+
+# A stage takes null texts, ids and sources, empty tables, repeated rows and columns of any name; its operator's docstring says
+# what becomes of each.
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +17,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs)
+    return simhash.one_of_each_alike(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        mark = scratch_mark()
         docs = stash(stage(spark, docs, sf_dir), name)
+        drop_since(spark, mark, [docs])
     return STAGES[-1][1](spark, docs, sf_dir)
