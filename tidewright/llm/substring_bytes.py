@@ -53,7 +53,11 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_
     and, with ``with_bytes``, kept (binary). One row for each input row: a null text is empty; texts shorter than
     ``length`` lose nothing; repeated rows repeat each other; null doc_ids stay null.
     """
-    rows = repeated(docs, False, length, gram, lambda s, c: adjacent_equal(s, c, length), BATCH, LIMIT)
+    return finished(repeated(docs, False, length, gram, lambda s, c: adjacent_equal(s, c, length), BATCH, LIMIT), with_bytes)
+
+
+def finished(rows: DataFrame, with_bytes: bool = False) -> DataFrame:
+    """The results of rows (doc_id, z, spans): texts less the bytes that their spans cover."""
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
