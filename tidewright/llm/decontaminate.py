@@ -144,6 +144,37 @@ def _candidates(text: np.ndarray, bounds: np.ndarray, items: Items, table: Table
     return (keys >> BAND_BITS) // len(items.ids), item, (keys & (1 << BAND_BITS) - 1) - BAND_ZERO
 
 
+def masks(item: np.ndarray) -> dict[int, int]:
+    """For each unit the places where the item has it, as bits."""
+    out: dict[int, int] = {}
+    for i, c in enumerate(item.tolist()):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def within(places: dict[int, int], n: int, text: list[int], budget: int) -> bool:
+    """Whether an item of n units lies anywhere in text with at most ``budget`` edits (Myers' bit vectors, one integer a column).
+
+    A banded alignment needs as many edits or more, so what fails here needs none.
+    """
+    whole, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, edits = whole, 0, n
+    for c in text:
+        same = places.get(c, 0)
+        x = same | down
+        same |= ((same & up) + up) ^ up
+        rise, fall = down | whole & ~(same | up), up & same
+        if rise & top:
+            edits += 1
+        elif fall & top:
+            edits -= 1
+            if edits <= budget:
+                return True
+        rise, fall = rise << 1 & whole, fall << 1 & whole
+        up, down = fall | whole & ~(x | rise), rise & x
+    return edits <= budget
+
+
 def align(item: np.ndarray, text: np.ndarray, low: int, width: int, budget: int) -> tuple[int, int, int] | None:
     """Best (edits, start, end) of the whole item in text along diagonals low - budget to low + width + budget.
 
@@ -184,7 +215,7 @@ def matches(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, int
     if items.short:
         for text, item, start, end, _ in matches([f" {t} " for t in texts], items.short):
             yield text, len(items.codes) + item, start, end - 2, 0
-    i = 0
+    i, known = 0, {}
     while i < len(texts):
         part, size = [], 0
         j = i
@@ -203,7 +234,10 @@ def matches(texts: list[str], items: Items) -> Iterator[tuple[int, int, int, int
             place = region.tobytes().find(code.tobytes())
             if place >= 0 and place % 2 == 0:
                 yield i + int(doc), int(item), begin + place // 2, begin + place // 2 + len(code), 0
-            elif found := align(code, region, low - begin, 2 * (e + 1), e):
+                continue
+            if item not in known:
+                known[item] = masks(code)
+            if within(known[item], len(code), region.tolist(), e) and (found := align(code, region, low - begin, 2 * (e + 1), e)):
                 yield i + int(doc), int(item), begin + found[1], begin + found[2], found[0]
         i = j
 
