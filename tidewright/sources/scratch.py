@@ -5,11 +5,15 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+#: Seconds between two calls of the driver's collector, and when the last was.
+PAUSE = 2.0
+_tidied = [0.0]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,19 +53,23 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path.rsplit("/", 1)[0]
+    _tidy(spark)
     return out
 
 
-def drop(*stashed: DataFrame) -> None:
-    """Delete the files of stashed tables that no later plan reads, and let Spark clean up the shuffles behind written tables.
+def _tidy(spark: SparkSession) -> None:
+    """Let Spark clean up the shuffles behind tables that are written: it deletes their files once the driver has collected what
+    refers to them, which a large heap may put off for long. In local mode files go with the process soon enough."""
+    if not spark.sparkContext.master.startswith("local[") and time.monotonic() - _tidied[0] > PAUSE:
+        spark._jvm.java.lang.System.gc()
+        _tidied[0] = time.monotonic()
+
 
-    Spark deletes a shuffle's files once the driver has collected what refers to it, which a large heap may put off for long.
-    """
+def drop(*stashed: DataFrame) -> None:
+    """Delete the files of stashed tables that no later plan reads."""
     for df in stashed:
         if getattr(df, "scratch", None) in _made:
             _delete(df.sparkSession, df.scratch)
-    if stashed:
-        stashed[0].sparkSession._jvm.java.lang.System.gc()
 
 
 def scratch_mark() -> int:
