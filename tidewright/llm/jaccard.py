@@ -161,8 +161,11 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, deal: int = DEA
     roots = components(links)
     roots = stash(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "roots")
     drop(least)
+    again = stash(found.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), "again")
+    repeats = not again.isEmpty()
     asked = nodes.join(roots, "node").select(*(F.col(f"first.{c}").alias(c) for c in [*key, "at"]), "node", "root")
-    sets = stash(with_sets(rows.select(*key, "text").join(asked, key).dropDuplicates(["node"])), "sets")
+    texts = rows.select(*key, "text").join(asked, key)
+    sets = stash(with_sets(texts.dropDuplicates(["node"]) if repeats else texts), "sets")
     sizes = stash(sets.groupBy("root").agg(F.count("*").alias("n")), "sizes")
     parts = F.expr(f"(n + {deal - 1}) div {deal}")
     dealt = sets.join(sizes, "root").withColumn("deal", F.when(F.col("n") > deal, F.pmod(F.xxhash64("node"), parts)).otherwise(F.lit(0).cast("long")))
@@ -171,10 +174,11 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, deal: int = DEA
     if not large.isEmpty():
         rest = sets.join(large, "root").join(gone, "node", "left_anti").withColumn("deal", F.lit(0).cast("long"))
         gone = stash(gone.unionByName(led(rest, similarity).select("node")), "gone")
-    kept = stash(nodes.join(gone, "node", "left_anti").select(*(F.col(f"first.{c}").alias(c) for c in key)), "kept")
-    again = stash(found.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key), "again")
+    kept = nodes.join(gone, "node", "left_anti").select(*(F.col(f"first.{c}").alias(c) for c in key))
+    # what goes is less than what stays, and often small enough to be sent to all
+    less = stash(found.select(*key).join(kept, key, "left_anti").distinct(), "less")
     drop(sets, sizes, nodes, found)
-    out = wrapped(docs).join(kept, key, "left_semi")
-    if not again.isEmpty():
+    out = wrapped(docs).join(less, key, "left_anti")
+    if repeats:
         out = out.join(again, key, "left_anti").unionByName(out.join(again, key, "left_semi").dropDuplicates(key))
     return unwrapped(out)
