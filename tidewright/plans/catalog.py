@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.config import Config
 from tidewright.functions.columns import finite, money, percent, phi_inv_sql, phi_sql, plain_ratio, vix_regime, vol_regime_label
 from tidewright.operators import correlation, engine, hmm, metrics, regime, report, runner, signals, strategies
 from tidewright.plans import oracle as o
@@ -260,6 +261,24 @@ e AS (SELECT 0 AS n, DATE '1900-01-01' AS date, list_transform(r, lambda v: 0.0e
   UNION ALL SELECT n, date, CASE WHEN w IS NULL THEN g ELSE list_transform(w, lambda a: a * {_bought.format("due")}) END, CASE WHEN w IS NULL THEN cash ELSE v - list_sum(w) * {_bought.format("due")} - 0.0015e0 * paid END, CASE WHEN w IS NULL THEN 0 ELSE paid / v END
   FROM ({_steps.replace("FROM day", "FROM (SELECT *, list_sum(g) + cash AS v FROM (SELECT y.n, y.date, y.w, e.cash, list_transform(list_zip(e.h, y.r), lambda z: z[1] * (1 + z[2])) AS g FROM e JOIN y ON y.n = e.n + 1))")}))
 SELECT date, round(list_sum(h) + cash, 4) AS equity, round(turnover, 6) AS turnover FROM e WHERE n > 0""")
+
+
+def configured(s: SparkSession, sf: str) -> DataFrame:
+    """A suite as YAML would set it up: capital, no costs, capped positions and the common start."""
+    assets = [{"ticker": r.ticker, "category": r.category, "tradable": r.tradable} for r in bars.assets_of_tables(s, sf).orderBy("pos").collect()]
+    settings = {"backtest": {"initial_capital": 1000}, "costs": {"commission": 0.0}, "rebalance": {"frequencies": ["monthly"]}, "risk_overlay": {"enabled": True, "max_single_weight": 0.04}}
+    setup = runner.Setup(panel(s, sf), Config(assets, backtest=settings), ["bench_equal"], bars.vix_of_tables(s, sf))
+    return setup.run()[0].select("date", F.round("equity", 5).alias("equity"))
+
+
+add("b06_configured_suite", f"""{o.BASE}{o.DATES}, ag AS (SELECT date, sum(CASE WHEN available THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS age FROM p WHERE tradable),
+r AS (SELECT date, sum(CASE WHEN age >= 1 THEN 1 ELSE 0 END) AS ready, row_number() OVER (ORDER BY date) - 1 AS n FROM ag GROUP BY 1), nd AS (SELECT greatest(3, least(8, count(DISTINCT ticker) // 2)) AS need FROM p WHERE tradable),
+st AS (SELECT date FROM r WHERE n = (SELECT least(coalesce(min(n), 1) + 5, (SELECT count(*) FROM r) - 2) FROM r, nd WHERE ready >= need)),
+k AS (SELECT date, row_number() OVER (ORDER BY date) AS n, lead(date, 1, DATE '9999-12-31') OVER (ORDER BY date) AS until FROM d WHERE date >= (SELECT date FROM st)),
+w AS (SELECT k.n, q.ticker, q.px, least(1.0e0 / count(*) OVER (PARTITION BY k.n), 0.04e0) AS w FROM k JOIN p q ON q.date = k.date AND q.tradable AND q.px IS NOT NULL),
+g AS (SELECT c.date, k.n, 1 + sum(w.w * (q.px / w.px - 1)) AS grown FROM cal c JOIN k ON c.date > k.date AND c.date <= k.until JOIN w ON w.n = k.n JOIN p q ON q.date = c.date AND q.ticker = w.ticker GROUP BY 1, 2),
+t AS (SELECT g.n, g.grown FROM g JOIN k ON g.n = k.n AND g.date = k.until), m AS (SELECT k.n, 1000 * coalesce(exp(sum(ln(t.grown)) OVER (ORDER BY k.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS e FROM k LEFT JOIN t ON k.n = t.n)
+SELECT date, round(e, 5) AS equity FROM (SELECT (SELECT min(date) FROM k) AS date, 1000.0e0 AS e UNION ALL SELECT g.date, m.e * g.grown FROM g JOIN m ON g.n = m.n)""")(configured)
 on_panel("b04_benchmark_returns", lambda p: engine.benchmark_returns(p, dates(p), "NATION_0").select("date", r6(F.col("bench"), "bench")), f"{o.BASE}{o.DATES} SELECT d.date, round(ret, 6) AS bench FROM d LEFT JOIN p ON d.date = p.date AND ticker = 'NATION_0'")
 on_panel("b05_common_start", engine.common_start, f"""{o.BASE}, s AS (SELECT date, sum(CASE WHEN available THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS age FROM p WHERE tradable),
 r AS (SELECT date, sum(CASE WHEN age >= 252 THEN 1 ELSE 0 END) AS ready, row_number() OVER (ORDER BY date) - 1 AS n FROM s GROUP BY 1), k AS (SELECT greatest(3, least(8, count(DISTINCT ticker) // 2)) AS need FROM p WHERE tradable)
