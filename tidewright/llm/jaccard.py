@@ -136,14 +136,14 @@ def led(sets: DataFrame, similarity: float) -> DataFrame:
     return sets.repartition("root", "deal").sortWithinPartitions(*order).select("root", "deal", "node", "shingles").mapInArrow(run, "node long, leader long")
 
 
-def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, deal: int = DEAL, groups: DataFrame | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, deal: int = DEAL, groups: DataFrame | None = None, joined: DataFrame | None = None) -> DataFrame:
     """docs with one row of each group of near-duplicates, that of the smallest doc_id (null ids last); columns stay as they are.
 
     Texts that share the key of a band are candidates, and connected candidates a group. Within a group a text goes if
     its exact Jaccard similarity with an earlier text that stays is ``similarity`` or more, so no two candidates
     that stay are that alike. A group of over ``deal`` texts is first dealt out by hash and thinned part by part: a
     text may go there for one that goes for a third in the second pass. Copies (equal words) are one text. groups:
-    (did, one, two, root) of rows that are candidates besides.
+    (did, one, two, group) of rows that are candidates besides, and joined: links (a, b) between groups.
     """
     key = ["did", "one", "two"]
     rows = keyed_rows(docs)
@@ -155,9 +155,12 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, deal: int = DEA
     least = stash(pairs.groupBy("key").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1").select("key", "low"), "least")
     links = pairs.join(least, "key").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     if groups is not None:
-        placed = stash(groups.join(found.select(*key, "node"), key).select("root", "node").distinct(), "placed")
-        first = stash(placed.groupBy("root").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1").select("root", "low"), "first")
-        links = links.unionByName(placed.join(first, "root").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+        placed = stash(groups.join(found.select(*key, "node"), key).select("group", "node").distinct(), "placed")
+        first = stash(placed.groupBy("group").agg(F.min("node").alias("low")), "first")
+        links = links.unionByName(placed.join(first, "group").filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+        if joined is not None:
+            ends = [first.select(F.col("group").alias(c), F.col("low").alias(f"low_{c}")) for c in ("a", "b")]
+            links = links.unionByName(joined.join(ends[0], "a").join(ends[1], "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b")))
     roots = components(links)
     roots = stash(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "roots")
     drop(least)

@@ -201,14 +201,9 @@ def parted(keyed: DataFrame, distance: int) -> DataFrame:
     return keyed.select(F.explode(keys).alias("key"), "fp")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """``did, one, two, doc_id, fp, fingerprint, root, component_id`` for each row of docs (doc_id, text; other columns are ignored).
-
-    Fingerprints at most ``distance`` (up to 4) bits apart link; component_id is the smallest doc_id reachable.
-    Equal fingerprints are one node from the start, so groups of copies cost one row. Texts that are null, empty
-    or blank have fingerprint 0 and link like any other. Rows with a null doc_id link too; component_id is null
-    only where no row of the component has an id. Repeated rows give repeated results.
-    """
+def linked(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keyed rows with their fingerprints (``fp``), the distinct fingerprints with their least doc_id (``fp, least``), and links
+    (``a, b``) that connect all fingerprints at most ``distance`` bits apart."""
     if distance > DISTANCE:
         raise ValueError("the keys are exact up to 4 bits")
     rows = stash(fingerprints(docs, shingle), "fingerprints")
@@ -226,14 +221,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     keyed = unique.select("fp").mapInArrow(keys, "key long, fp long")
     hot = stash(keyed.groupBy("key").count().filter(F.col("count") > HOT).select("key"), "hot")
     if hot.isEmpty():
-        links = bucket_links(keyed, distance)
-    else:
-        links = bucket_links(keyed.join(hot, "key", "left_anti"), distance).unionByName(bucket_links(parted(keyed.join(hot, "key", "left_semi"), distance), distance))
+        return rows, unique, bucket_links(keyed, distance)
+    cool = bucket_links(keyed.join(hot, "key", "left_anti"), distance)
+    return rows, unique, cool.unionByName(bucket_links(parted(keyed.join(hot, "key", "left_semi"), distance), distance))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """``did, one, two, doc_id, fp, fingerprint, root, component_id`` for each row of docs (doc_id, text; other columns are ignored).
+
+    Fingerprints at most ``distance`` (up to 4) bits apart link; component_id is the smallest doc_id reachable.
+    Equal fingerprints are one node from the start, so groups of copies cost one row. Texts that are null, empty
+    or blank have fingerprint 0 and link like any other. Rows with a null doc_id link too; component_id is null
+    only where no row of the component has an id. Repeated rows give repeated results.
+    """
+    rows, unique, links = linked(docs, shingle, distance)
     roots = components(links)
-    linked = unique.join(roots, unique.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = stash(linked, "linked")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select("fp", "root", "component_id")
+    joined = unique.join(roots, unique.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    joined = stash(joined, "linked")
+    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = joined.join(least, "root").select("fp", "root", "component_id")
     return rows.join(named, "fp", "left").select("did", "one", "two", "doc_id", "fp", unsigned_hex(F.col("fp")).alias("fingerprint"), "root", "component_id")
 
 
@@ -256,7 +262,8 @@ def one_of_each_alike(docs: DataFrame, shingle: int = jaccard.SHINGLE, similarit
     Fingerprints within 4 bits make candidates by their Golay keys, and exact shingle sets decide. Texts of that similarity may lie
     13 bits apart, beyond what the keys reach, so MinHash bands add candidates (``jaccard.one_of_each``).
     """
-    return jaccard.one_of_each(docs, similarity, groups=near_duplicates(docs, shingle).select("did", "one", "two", "root"))
+    rows, _, links = linked(docs, shingle)
+    return jaccard.one_of_each(docs, similarity, groups=rows.select("did", "one", "two", F.col("fp").alias("group")), joined=links)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
