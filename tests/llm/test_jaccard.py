@@ -1,8 +1,9 @@
 import random
 
+import pyarrow as pa
 import pytest
 
-from tidewright.llm import jaccard
+from tidewright.llm import jaccard, simhash
 
 
 def sets(text):
@@ -50,3 +51,22 @@ def test_smallest_id_stays(spark):
     docs = spark.createDataFrame([(i, " ".join([*base[:50], f"x{i}", *base[51:]])) for i in (5, 9, 2, None)], "doc_id long, text string")
     assert [r.doc_id for r in jaccard.one_of_each(docs).collect()] == [2]
     assert jaccard.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_texts_of_the_stage_travel_in_small_batches(spark, monkeypatch):
+    """By count alone 4,000 texts of 4 kB are one batch of 16 MB."""
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('ab c', 1000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    def most():
+        return max(r.n for r in docs.mapInArrow(sizes, "n long").collect())
+
+    seen = []
+    monkeypatch.setattr(simhash, "linked", lambda d, shingle: seen.append(most()) or (d.selectExpr("1 AS did", "1 AS one", "1 AS two", "1 AS fp"), d, d))
+    monkeypatch.setattr(jaccard, "one_of_each", lambda d, similarity, groups, joined: seen.append(most()))
+    simhash.one_of_each_alike(docs)
+    assert max(seen) < 3 << 20
+    assert most() > 10 << 20  # outside, batches are as the session has them

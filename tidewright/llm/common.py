@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # scratch tables are used through this module
-from tidewright.sources.scratch import drop, drop_since, fresh_path, qualified, scratch_mark, shared_dir, stash  # noqa: F401
+from tidewright.sources.scratch import drop, drop_since, fresh_path, qualified, scratch_mark, shared_dir, small_batches, stash  # noqa: F401
 
 #: ASCII white space: the bytes between words, as in ``[^\x20\x09-\x0D]+`` and ``bytes.split()``.
 SPACES = b"\t\n\x0b\x0c\r "

@@ -60,8 +60,8 @@ def codes_of(column: pa.Array) -> Iterator[np.ndarray]:
     """The word hashes of each text of a batch, A-Z lower-cased."""
     data, offsets = buffers(column)
     i, n = 0, len(offsets) - 1
-    while i < n:  # about a megabyte at a time
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), "right")) - 1)
+    while i < n:  # about 256 kB at a time: arrays of 8 bytes for each byte stay small
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 18), "right")) - 1)
         part, off = _LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
         starts, ends = words_of(part, off)
         codes, bounds = word_codes(part, starts, ends), np.searchsorted(starts, off)

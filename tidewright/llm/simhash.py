@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import jaccard
-from tidewright.llm.common import NO_ID, keyed_rows, stash, unsigned_hex, unwrapped, wrapped
+from tidewright.llm.common import NO_ID, keyed_rows, small_batches, stash, unsigned_hex, unwrapped, wrapped
 from tidewright.llm.components import components
 
 SHINGLE = 4
@@ -262,8 +262,9 @@ def one_of_each_alike(docs: DataFrame, shingle: int = jaccard.SHINGLE, similarit
     Fingerprints within 4 bits make candidates by their Golay keys, and exact shingle sets decide. Texts of that similarity may lie
     13 bits apart, beyond what the keys reach, so MinHash bands add candidates (``jaccard.one_of_each``).
     """
-    rows, _, links = linked(docs, shingle)
-    return jaccard.one_of_each(docs, similarity, groups=rows.select("did", "one", "two", F.col("fp").alias("group")), joined=links)
+    with small_batches(docs.sparkSession):
+        rows, _, links = linked(docs, shingle)
+        return jaccard.one_of_each(docs, similarity, groups=rows.select("did", "one", "two", F.col("fp").alias("group")), joined=links)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,9 @@ _made: list[str] = []
 #: Seconds between two calls of the driver's collector, and when the last was.
 PAUSE = 2.0
 _tidied = [0.0]
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that go to a Python worker at once in ``small_batches``; a larger row goes alone.
+BATCH = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +62,20 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside send rows to Python in batches of ``BATCH`` bytes: by count alone 10,000 texts are one batch, which the
+    executor and its worker hold in several copies. A limit that the session sets itself stays."""
+    if spark.conf.get(BATCH_BYTES, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_BYTES, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
 def _tidy(spark: SparkSession) -> None:
     """Let Spark clean up the shuffles behind tables that are written: it deletes their files once the driver has collected what
     refers to them, which a large heap may put off for long. In local mode files go with the process soon enough."""
