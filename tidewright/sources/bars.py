@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidewright.functions.columns import by_ticker, so_far, change
 
 BAR_SCHEMA = "ticker string, date date, open double, high double, low double, close double, adj_close double, volume double"
+#: Bounds that a volatility index is compared with: of labels, and of the regime.
+VIX_BOUNDS = (15, 20, 25, 35)
 
 
 def bars_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +29,18 @@ def bars_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vix_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A volatility index by date."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.groupBy(F.col("l_shipdate").cast("date").alias("date")).agg((500 * F.avg("l_tax")).alias("vix"))
+    """A volatility index by date.
+
+    The last bits of a sum of doubles hang on its order, and where the mean lies on a bound of a label (``VIX_BOUNDS``) they decide the
+    label. Such dates, few in a large table, are summed again in the table's row order, so that no split of the files shows.
+    """
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_shipdate").cast("date").alias("date"), "l_tax", F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+    means = lines.groupBy("date").agg((500 * F.avg("l_tax")).alias("mean"))
+    close = means.filter(" OR ".join(f"abs(mean - {b}) < 1e-6" for b in VIX_BOUNDS)).select("date")
+    own = lines.filter("l_tax IS NOT NULL").join(F.broadcast(close), "date").groupBy("date").agg(F.array_sort(F.collect_list(F.struct("place", "l_tax"))).alias("x"))
+    total = F.aggregate("x", F.lit(0.0), lambda a, x: a + x["l_tax"])
+    again = own.select("date", (500 * (total / F.size("x"))).alias("again"))
+    return means.join(again, "date", "left").select("date", F.coalesce("again", "mean").alias("vix"))
 
 
 def assets_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
